@@ -89,7 +89,7 @@ def running_start(df: DataFrame, order: list[str], size: str, start: str, label:
     spark = df.sparkSession
     cols = [F.col(c) for c in order]
     base = df.withColumn("_size", F.col(size).cast("long"))
-    schema = base.schema.add("_local", "long").add("_part", "int")
+    schema = base.schema.add("_local", "long").add("_part", "integer")
     spread = base.repartitionByRange(*cols).sortWithinPartitions(*cols)
     parts = written(spread.mapInArrow(local, schema), label)
     sums = parts.groupBy("_part").agg(F.sum("_size").alias("_sum"))

@@ -3,11 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .common import table
 
 
+def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import new_path
+    from .token_store import read_documents, write_store
+
+    path = new_path(spark, "token-store")
+    write_store(table(spark, sf_dir, "documents"), path)
+    return read_documents(spark, path)
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
@@ -22,7 +36,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op6_exact_dedup, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op4_best_fit_packing, op6_exact_dedup, op10_mixing)}
 
 ORACLES = {
     "op6_exact_dedup": r"""
