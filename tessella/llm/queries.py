@@ -28,6 +28,12 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_join
+
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import curriculum
 
@@ -36,7 +42,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op4_best_fit_packing, op6_exact_dedup, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op4_best_fit_packing, op6_exact_dedup, op7_jaccard_join, op10_mixing)}
 
 ORACLES = {
     "op6_exact_dedup": r"""
