@@ -76,6 +76,10 @@ _TABLE, _SPACE = _bytes_table()
 _STEP = 0xD1342543DE82EF95  # odd, so that it has an inverse
 
 
+#: One unrelated odd factor for each place in a shingle (up to 16 words).
+_FACTORS = mix(np.arange(1000, 1016, dtype=np.uint64) * np.uint64(_GOLD)) | np.uint64(1)
+
+
 @lru_cache(1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(n, _STEP, np.uint64), np.full(n, pow(_STEP, -1, 1 << 64), np.uint64)
@@ -103,7 +107,7 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     n = min(words, len(w))
     total = np.full(len(w) - n + 1, (words - n) * _GOLD % (1 << 64), np.uint64)
     for i in range(n):
-        total += w[i : len(w) - n + 1 + i] * np.uint64((2 * i + 3) * _GOLD % (1 << 64) | 1)
+        total += w[i : len(w) - n + 1 + i] * _FACTORS[i]
     return np.unique(mix(total))
 
 
