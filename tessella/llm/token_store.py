@@ -32,17 +32,17 @@ from pyspark.sql import functions as F
 from .common import new_path, removed, running_start, written
 from .tokens import encoder, tokenizer_path
 
-WINDOW, MEAN, LEAST, MOST = 16, 256, 64, 1024
+WINDOW, BITS, LEAST, MOST = 16, 8, 64, 1024
 PAGE_TOKENS = 1 << 20
 _EMPTY_ROOT = sha256(b"").digest()
 
 
 def _gear() -> np.ndarray:
-    """A pseudo-random 64-bit word for each of 2^16 ids; larger ids wrap."""
+    """A pseudo-random 32-bit word for each of 2^16 ids; larger ids wrap."""
     x = np.arange(1, (1 << 16) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    return (x >> np.uint64(32)).astype(np.uint32)
 
 
 _GEAR = _gear()
@@ -54,9 +54,9 @@ def cut_candidates(ids: np.ndarray) -> np.ndarray:
     step = 1
     while step < WINDOW:  # h covers ``step`` ids; twice as many after each turn
         if len(h) > step:
-            h = np.concatenate([h[:step], h[step:] + (h[:-step] << np.uint64(step))])
+            h[step:] += h[:-step] << np.uint32(step)
         step *= 2
-    return np.flatnonzero((h >> np.uint64(40)) % np.uint64(MEAN) == 0) + 1
+    return np.flatnonzero((h >> np.uint32(32 - BITS)) == 0) + 1
 
 
 def cuts(start: int, end: int, candidates: np.ndarray) -> list[int]:

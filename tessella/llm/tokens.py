@@ -9,22 +9,26 @@ what the cache lacks, and every other text, goes through the library itself.
 from __future__ import annotations
 
 import os
-
-import numpy as np
+import re
+from array import array
 
 #: Ends every document.
 END_ID = 2
-#: Pieces that a worker remembers before it starts afresh (about 150 bytes each).
-CACHE_PIECES = 600_000
-#: Marks that the pattern never joins to a letter before them.
-_MARKS = frozenset(",.;:!?")
+#: Pieces in a generation of a worker's cache, which holds two (about 150 bytes a piece).
+CACHE_PIECES = 350_000
+#: Letters, then ASCII marks up to the end: the pattern takes them as two pieces.
+_LETTERS_MARKS = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]+)\Z")
+#: White space that is neither a space nor a line break.
+_ASCII_SPACES = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+_WIDE_SPACES = "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 
 
 def plainly_spaced(text: str) -> bool:
     """Whether all white space is single spaces or single line breaks between other characters."""
     if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0].isspace() or text[-1].isspace():
         return False
-    return len(text.split()) == text.count(" ") + text.count("\n") + 1
+    odd = _ASCII_SPACES if text.isascii() else _ASCII_SPACES + _WIDE_SPACES
+    return not any(map(text.__contains__, odd))
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -33,24 +37,50 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable
+    bytes for themselves, the others in order from U+0100 on (a fixed convention)."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = (b for b in range(256) if b not in own)
+    return {b: chr(b) for b in own} | {b: chr(0x100 + i) for i, b in enumerate(others)}
+
+
 class _Pieces(dict):
     """ids of a piece, as bytes of little-endian unsigned 32-bit integers."""
 
-    def __init__(self, encode, lead: str):
+    def __init__(self, encoder: Encoder, lead: str):
         super().__init__()
-        self.encode, self.lead = encode, lead
+        self.encoder, self.lead, self.old = encoder, lead, {}
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= CACHE_PIECES:
+            self.old = dict(self)
             self.clear()
-        if len(piece) > 1 and piece[-1] in _MARKS and piece[-2].isalpha():
-            ids = self[piece[:-1]] + self.encode(piece[-1])
+        ids = self.old.get(piece)
+        if ids is not None:
+            pass
+        elif piece.isalpha():
+            ids = self.encoder.word(self.lead + piece)
+        elif (m := _LETTERS_MARKS.match(piece)) and m[1].isalpha():
+            ids = self[m[1]] + self.encoder.marks[m[2]]
         else:
-            ids = self.encode(self.lead + piece)
+            ids = self.encoder.library(self.lead + piece)
         self[piece] = ids
         return ids
 
 
+class _Marks(dict):
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, marks: str) -> bytes:
+        ids = self.encoder.library(marks)
+        if len(self) < CACHE_PIECES:
+            self[marks] = ids
+        return ids
+
+
 class Encoder:
     """Encodes texts as the tokenizers library does, special strings as ordinary text."""
 
@@ -60,13 +90,17 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        marks = {m: self.library(m) for m in _MARKS}
-        encode = lambda piece: marks.get(piece) or self.library(piece)
-        self.first, self.inner = _Pieces(encode, ""), _Pieces(encode, " ")
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.first, self.inner, self.marks = _Pieces(self, ""), _Pieces(self, " "), _Marks(self)
         self.line_break = self.library("\n")
 
     def library(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def word(self, text: str) -> bytes:
+        """As ``library``, for letters that at most one space precedes: they are one piece of the pattern."""
+        spelt = text.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
 
     def ids(self, text: str | None) -> bytes:
         """ids of the text and the end id, as little-endian unsigned 32-bit integers."""
