@@ -16,6 +16,12 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(spark, path)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -42,7 +48,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op4_best_fit_packing, op6_exact_dedup, op7_jaccard_join, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op3_toxicity, op4_best_fit_packing, op6_exact_dedup, op7_jaccard_join, op10_mixing)}
 
 ORACLES = {
     "op6_exact_dedup": r"""
