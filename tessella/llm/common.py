@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 #: The six white-space characters of the contracts: space, tab, LF, VT, FF, CR.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -89,7 +90,7 @@ def running_start(df: DataFrame, order: list[str], size: str, start: str, label:
     spark = df.sparkSession
     cols = [F.col(c) for c in order]
     base = df.withColumn("_size", F.col(size).cast("long"))
-    schema = base.schema.add("_local", "long").add("_part", "integer")
+    schema = StructType([*base.schema, StructField("_local", LongType()), StructField("_part", IntegerType())])
     spread = base.repartitionByRange(*cols).sortWithinPartitions(*cols)
     parts = written(spread.mapInArrow(local, schema), label)
     sums = parts.groupBy("_part").agg(F.sum("_size").alias("_sum"))
