@@ -23,6 +23,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return ties.union(least.select(F.col("m").alias("a"), F.col("u").alias("b"))).filter("a < b")
 
 
+def _shared(edges: DataFrame) -> bool:
+    """Whether some end of an edge has several starts."""
+    return bool(edges.groupBy("b").agg(F.min("a").alias("low"), F.max("a").alias("high")).filter("low < high").head(1))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, label) of every id in ``links`` (a, b: two integer columns): the label is
     the smallest id of the component.
@@ -32,11 +37,8 @@ def components(links: DataFrame) -> DataFrame:
     written table.
     """
     edges = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
-    edges, seen = written(edges, "links"), None
-    while True:
-        mark = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == seen or not mark[0]:
-            break
-        seen = mark
-        edges = written(_small_star(written(_large_star(edges).distinct(), "links")).distinct(), "links")
+    edges = written(edges, "links")
+    # done when no end of an edge is another edge's start
+    while edges.select(F.col("b").alias("x")).join(edges.select(F.col("a").alias("x")), "x", "left_semi").head(1) or _shared(edges):
+        edges = written(_small_star(_large_star(edges).distinct()).distinct(), "links")
     return edges.select(F.col("b").alias("id"), F.col("a").alias("label")).union(edges.select(F.col("a"), F.col("a")).distinct())

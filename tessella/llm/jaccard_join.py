@@ -20,9 +20,9 @@ Sets that are equal are one representative. Within a signature's group each
 member is compared with the group's first member, with whole sets. Links merge
 into components; members of a group that are then in different components are
 compared further, unless their distances to the first member tell them apart
-(Jaccard distance is a metric). Groups in which more than BLOCK members are still
-apart are split again around a new first member, and so on; no group's pairs
-are ever all made.
+(Jaccard distance is a metric): the members outside a group's largest component
+so far, BLOCK at a turn, with those of other components. Components merge after
+each turn, which leaves fewer to compare; no group's pairs are ever all made.
 
 Two different shingles count as one only if their 64-bit hashes are equal.
 
@@ -49,8 +49,8 @@ from .common import written
 from .graph import components
 
 WORDS, PERCENT = 4, 85
-#: Members still apart in a group up to which their pairs are made directly.
-BLOCK = 32
+#: Members of a group that are compared with its others in one turn.
+BLOCK = 128
 #: Ids up to which a list of documents to read is broadcast (16 bytes each); beyond it, a shuffled join.
 BROADCAST_IDS = 1_000_000
 _GOLD = 0x9E3779B97F4A7C15
@@ -271,16 +271,17 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     links = met.filter("linked").select("a", "b")
     labels = written(components(links), "labels")
     state = groups.join(met, ["a", "b"]).select("sign", "a", "b", "distance")
-    while True:
+    for turn in range(1 << 20):
         state = written(_apart(state, labels), "apart")
         if not state.head(1):
             break
-        pairs, state = _next_pairs(state, percent)
+        pairs, state = _next_pairs(state, percent, turn)
         met = written(_compare(pairs.distinct(), texts, words, percent), "compared")
-        links = written(links.union(met.filter("linked").select("a", "b")), "linked")
-        labels = written(components(links), "labels")
-        # a pair that wasn't compared this time has no known distance to the new first member
-        state = written(state.join(met.select("a", "b", "distance"), ["a", "b"], "left").select("sign", "a", "b", "distance"), "turned")
+        found = met.filter("linked").select("a", "b")
+        if found.head(1):
+            known = labels.filter("id != label").select(F.col("label").alias("a"), F.col("id").alias("b"))
+            labels = written(components(known.union(found)), "labels")
+        state = state.select("sign", "a", "b", "distance")
     named = reps.join(labels.withColumnRenamed("id", "rid"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     found = named.join(least, "label").select("rid", "component_id")
@@ -300,23 +301,21 @@ def _apart(state: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(major, "sign").withColumn("minor", F.col("label") != F.col("major")).drop("major")
 
 
-def _next_pairs(state: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def _next_pairs(state: DataFrame, percent: int, turn: int) -> tuple[DataFrame, DataFrame]:
     """The pairs to compare next, and the rows of groups that need another turn.
 
-    Where at most BLOCK members are minor: these with all of another label whose
-    distances to the old first member allow a link. Elsewhere one of the minor
-    members becomes the first, and is compared with the others in that way.
+    Minor members are compared with all members of another label whose distances
+    to the group's first member allow a link. Where there are more than BLOCK of
+    them, about BLOCK chosen by hash have their turn, and the others the next.
     """
     near = 1 - percent / 100 + 1e-9
-    possible = lambda x, y: (F.col(f"{x}.label") != F.col(f"{y}.label")) & F.coalesce(
-        F.abs(F.col(f"{x}.distance") - F.col(f"{y}.distance")) <= near, F.lit(True)
+    chosen = F.col("minor") & (F.pmod(F.xxhash64("b", F.lit(turn)), F.col("minors")) < BLOCK)
+    dealt = state.withColumn("chosen", chosen)
+    x, y = dealt.filter("chosen").alias("x"), dealt.alias("y")
+    met = x.join(y, F.col("x.sign") == F.col("y.sign")).filter(
+        (F.col("x.label") != F.col("y.label"))
+        & (F.abs(F.col("x.distance") - F.col("y.distance")) <= near)
+        & (~F.col("y.chosen") | (F.col("x.b") < F.col("y.b")))
     )
-    few = state.filter(F.col("minors") <= BLOCK)
-    x, y = few.filter("minor").alias("x"), few.alias("y")
-    made = x.join(y, F.col("x.sign") == F.col("y.sign")).filter(possible("x", "y") & (~F.col("y.minor") | (F.col("x.b") < F.col("y.b"))))
-    made = made.select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b"))
-    many = state.filter(F.col("minors") > BLOCK)
-    first = many.filter("minor").groupBy("sign").agg(F.min_by(F.struct("b", "distance", "label"), "b").alias("f"))
-    turned = many.alias("y").join(first.select("sign", "f.*").alias("x"), "sign").filter(F.col("y.b") != F.col("x.b"))
-    rest = turned.select("sign", F.col("x.b").alias("a"), F.col("y.b").alias("b"), possible("x", "y").alias("possible"))
-    return made.union(rest.filter("possible").select("a", "b")), rest.drop("possible")
+    pairs = met.select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b"))
+    return pairs, dealt.filter((F.col("minors") > BLOCK) & ~F.col("chosen"))
