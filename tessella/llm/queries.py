@@ -40,6 +40,12 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op8_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .edit_fingerprint import edit_fingerprints
+
+    return edit_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import curriculum
 
@@ -48,7 +54,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op3_toxicity, op4_best_fit_packing, op6_exact_dedup, op7_jaccard_join, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op3_toxicity, op4_best_fit_packing, op6_exact_dedup, op7_jaccard_join, op8_edit_fingerprint, op10_mixing)}
 
 ORACLES = {
     "op6_exact_dedup": r"""
