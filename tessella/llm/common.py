@@ -58,6 +58,22 @@ def removed(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Rows up to which a list of keys is broadcast (24 bytes each); beyond it, a shuffled join.
+BROADCAST_KEYS = 1_000_000
+
+
+def text_key(text):
+    """Tells rows that repeat a doc_id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose (doc_id, text_key) is in ``keys``."""
+    keys = written(keys.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct(), "dropped")
+    keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+    return docs.join(keys, docs["doc_id"].eqNullSafe(F.col("_id")) & (text_key(docs["text"]) == F.col("_key")), "left_anti")
+
+
 def words(text):
     """Number of words of a text column, null counting as empty."""
     return F.size(F.split(F.trim(F.translate(F.coalesce(text, F.lit("")), SPACE_CHARS, " " * 6)), " +")) - F.when(

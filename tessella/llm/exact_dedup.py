@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, written
+from .common import SPACE_CHARS, text_key, without, written
 
 #: Keys a bucket of the index should have on average, and the fewest buckets.
 BUCKET_KEYS, MIN_BUCKETS = 16_384, 512
@@ -27,10 +27,11 @@ _GROUP = "digest binary, n_chars long, doc_id long, group_size long"
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars and the SHA-256 of the text without white space."""
+    """doc_id, a hash of the text as it is, n_chars and the SHA-256 of the text without white space."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(
         "doc_id",
+        text_key(F.col("text")).alias("text_key"),
         F.length(text).cast("long").alias("n_chars"),
         F.unhex(F.sha2(F.translate(text, SPACE_CHARS, ""), 256)).alias("digest"),
     )
@@ -178,4 +179,20 @@ def exact_dedup(docs: DataFrame, is_history=None) -> DataFrame:
         "group_size",
         (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("keep_chars"))).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
+        "text_key",
     )
+
+
+def without_copies(docs: DataFrame, is_history=None) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``exact_dedup`` keeps; of several that it marks kept in one group, one."""
+    found = written(exact_dedup(docs, is_history).select("doc_id", "text_key", "kept", "text_sha256"), "copies")
+    rest = without(docs, found.filter("not kept").select("doc_id", "text_key"))
+    repeated = found.filter("kept").groupBy("text_sha256").agg(F.count(F.lit(1)).alias("n"), F.first("text_key").alias("text_key")).filter("n > 1")
+    if not repeated.head(1):
+        return rest
+    names = rest.columns
+    marked = rest.withColumn("_same", F.sha2(F.translate(F.coalesce("text", F.lit("")), SPACE_CHARS, ""), 256))
+    # a null digest is no group: only rows of repeated digests are reduced to one
+    marked = marked.join(repeated.select(F.col("text_sha256").alias("_same"), F.lit(True).alias("_many")), "_same", "left")
+    one = marked.filter("_many").dropDuplicates(["_same"])
+    return marked.filter("_many is null").union(one).select(*names)

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import words, written
+from .common import text_key, words, written
 
 #: (weight, shape) by the source's place in code point order, repeating. A shape
 #: lists knots (time, height); heights are scaled so that the integral is the weight.
@@ -96,12 +96,12 @@ def _position(fraction, place, cycle):
 def curriculum(docs: DataFrame, cycle=CYCLE, share: float = SHARE, most: float = MOST) -> DataFrame:
     """One row for each document, range-sorted by its first training position:
     doc_id, source, size, source_size, target, taken, copies (whole or begun),
-    position and second_position (null where there is no such copy).
+    position and second_position (null where there is no such copy), text_key.
 
     The last pass takes a document's first words where it straddles the target.
     ``most`` over 2 gives more passes; the first two positions are returned.
     """
-    sizes = written(docs.select("doc_id", "source", words(F.col("text")).cast("long").alias("size")), "sizes")
+    sizes = written(docs.select("doc_id", "source", text_key(F.col("text")).alias("text_key"), words(F.col("text")).cast("long").alias("size")), "sizes")
     # The order inside a source: by hash, then doc_id. The hash's range is cut into
     # slices, so that no window holds a whole source however hot it is.
     slices = max(MIN_SLICES, sizes.count() // SLICE_ROWS)
@@ -113,11 +113,11 @@ def curriculum(docs: DataFrame, cycle=CYCLE, share: float = SHARE, most: float =
     goals = targets(sizes, cycle, share, most)
     plan = sums.alias("s").join(goals.alias("g"), F.col("s.source").eqNullSafe(F.col("g.source")))
     plan = plan.select("s.source", "s.slice", "s.before", "g.source_size", "g.place", "g.target")
-    inside = Window.partitionBy("source", "slice").orderBy("rank", F.col("doc_id").isNull(), "doc_id", "size")
+    inside = Window.partitionBy("source", "slice").orderBy("rank", F.col("doc_id").isNull(), "doc_id", "size", "text_key")
     here = F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = dealt.withColumn("here", here).alias("d")
     met = rows.join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.slice") == F.col("p.slice")))
-    met = met.select("d.doc_id", "d.source", "d.size", "p.source_size", "p.place", "p.target", (F.col("p.before") + F.col("d.here")).alias("start"))
+    met = met.select("d.doc_id", "d.source", "d.text_key", "d.size", "p.source_size", "p.place", "p.target", (F.col("p.before") + F.col("d.here")).alias("start"))
     goal = F.floor("target")
     passes = F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(0)
     rest = goal - F.col("passes") * F.col("source_size")
@@ -135,5 +135,39 @@ def curriculum(docs: DataFrame, cycle=CYCLE, share: float = SHARE, most: float =
         "taken", (F.col("passes") * F.col("size") + F.col("part")).cast("long")
     )
     out = out.withColumn("position", at(0)).withColumn("second_position", at(1))
-    out = out.select("doc_id", "source", "size", "source_size", "target", "taken", "copies", "position", "second_position")
+    out = out.select("doc_id", "source", "size", "source_size", "target", "taken", "copies", "position", "second_position", "text_key")
     return out.orderBy(F.col("position").asc_nulls_last(), "doc_id")
+
+
+def first_words(text, n):
+    """The text up to the end of its n-th word."""
+    space = "[\\x20\\x09-\\x0D]"
+    return F.array_join(F.slice(F.split(text, f"(?<!{space})(?={space})"), 1, n), "")
+
+
+def mixed(docs: DataFrame, cycle=CYCLE, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """The documents as the mix takes them, all columns, range-sorted by training
+    position: a row for each copy; the last copy of the document that straddles its
+    source's target has its first words only (and n_chars, where there is such a
+    column, their length). Of rows that repeat doc_id and text, each stands for its own.
+    """
+    names = docs.columns
+    plan = written(curriculum(docs, cycle, share, most).filter("copies > 0"), "curriculum")
+    turn = Window.partitionBy("doc_id", "text_key").orderBy("position", "second_position")
+    plan = plan.withColumn("turn", F.row_number().over(turn))
+    plan = plan.select(
+        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "turn", "taken", "copies", F.col("size").alias("_size"),
+        F.array("position", "second_position").alias("positions"),
+    )
+    keyed = docs.withColumn("_key2", text_key(F.col("text")))
+    keyed = keyed.withColumn("_turn", F.row_number().over(Window.partitionBy("doc_id", "_key2").orderBy("source")))
+    met = keyed.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key2") == F.col("_key")) & (F.col("_turn") == F.col("turn")))
+    each = met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    left = F.col("taken") - (F.col("_copy") - 1) * F.col("_size")
+    cut = (left < F.col("_size")) & (left > 0)
+    at = F.when(F.col("_copy") <= 2, F.element_at("positions", F.least(F.col("_copy"), F.lit(2)))).otherwise(F.lit(1.0))
+    each = each.withColumn("_at", at).withColumn("_text", F.when(cut, first_words(F.col("text"), left.cast("int"))).otherwise(F.col("text")))
+    out = each.withColumn("text", F.col("_text"))
+    if "n_chars" in names:
+        out = out.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.orderBy("_at", "doc_id").select(*names)
