@@ -16,13 +16,13 @@ signature, and sets that may be similar share one:
 
 A set whose size lies just below the next band also signs for that band.
 
-Sets that are equal are one representative. Within a signature's group each
-member is compared with the group's first member, with whole sets. Links merge
-into components; members of a group that are then in different components are
-compared further, unless their distances to the first member tell them apart
-(Jaccard distance is a metric): the members outside a group's largest component
-so far, BLOCK at a turn, with those of other components. Components merge after
-each turn, which leaves fewer to compare; no group's pairs are ever all made.
+Sets that are equal are one representative. Each member of a signature's group is
+compared with the group's first member, with whole sets; those met by one first
+member are its family. Links merge into components; members of a family that are
+then in different components are compared further, unless their distances to the
+first member tell them apart (Jaccard distance is a metric): the members outside
+the family's largest component so far, BLOCK at a turn, with those of other
+components. Components merge after each turn. Only links are ever made into rows.
 
 Two different shingles count as one only if their 64-bit hashes are equal.
 
@@ -49,8 +49,8 @@ from .common import written
 from .graph import components
 
 WORDS, PERCENT = 4, 85
-#: Members of a group that are compared with its others in one turn.
-BLOCK = 128
+#: Members of a family that are compared with its others in one turn, and members in a slice of it.
+BLOCK, SLICE = 256, 1024
 #: Ids up to which a list of documents to read is broadcast (16 bytes each); beyond it, a shuffled join.
 BROADCAST_IDS = 1_000_000
 _GOLD = 0x9E3779B97F4A7C15
@@ -202,7 +202,7 @@ def _stars(batches):
         centers = np.where(at >= 0, r[at], center if center is not None else 0)
         keep = ~new & (centers != r)
         sign, center = s[-1], centers[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(s[keep]), pa.array(centers[keep]), pa.array(r[keep])], names=["sign", "a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(centers[keep]), pa.array(r[keep])], names=["a", "b"])
 
 
 def _compared(words: int, percent: int):
@@ -238,7 +238,7 @@ def _compare(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     return dealt.mapInArrow(_compared(words, percent), "a long, b long, linked boolean, distance double")
 
 
-def _texts_of(docs: DataFrame, reps: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+def _texts_of(docs: DataFrame, reps: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFrame:
     """(rid, text) of the wanted representatives."""
     ids = written(reps.join(wanted, "rid", "left_semi").select("rid", "doc_id"), "wanted")
     small = ids.count() <= BROADCAST_IDS
@@ -263,25 +263,22 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     full = sets.filter("rid is not null")
     whole = full.groupBy("rid").agg(F.min("doc_id").alias("doc_id"), F.first("signs").alias("signs")).filter("doc_id is not null")
     rows = whole.select("rid", F.explode("signs").alias("sign"))
-    groups = written(rows.repartition("sign").sortWithinPartitions("sign", "rid").mapInArrow(_stars, "sign long, a long, b long"), "groups")
+    stars = rows.repartition("sign").sortWithinPartitions("sign", "rid").mapInArrow(_stars, "a long, b long")
+    pairs = written(stars.distinct(), "pairs")
     reps = full.groupBy("rid").agg(F.min("doc_id").alias("doc_id"))
-    wanted = groups.select(F.col("a").alias("rid")).union(groups.select("b")).distinct()
-    texts = _texts_of(docs, reps, wanted, words)
-    met = written(_compare(groups.select("a", "b").distinct(), texts, words, percent), "compared")
-    links = met.filter("linked").select("a", "b")
-    labels = written(components(links), "labels")
-    state = groups.join(met, ["a", "b"]).select("sign", "a", "b", "distance")
+    texts = _texts_of(docs, reps, pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct(), words)
+    met = written(_compare(pairs, texts, words, percent), "compared")
+    labels = written(components(met.filter("linked").select("a", "b")), "labels")
+    state = met.select("a", "b", "distance")
     for turn in range(1 << 20):
-        state = written(_apart(state, labels), "apart")
+        state = written(_apart(state, labels, turn), "apart")
         if not state.head(1):
             break
-        pairs, state = _next_pairs(state, percent, turn)
-        met = written(_compare(pairs.distinct(), texts, words, percent), "compared")
-        found = met.filter("linked").select("a", "b")
+        found = written(_compare_blocks(state, texts, words, percent), "found")
         if found.head(1):
-            known = labels.filter("id != label").select(F.col("label").alias("a"), F.col("id").alias("b"))
+            known = labels.filter("id <> label").select(F.col("label").alias("a"), F.col("id").alias("b"))
             labels = written(components(known.union(found)), "labels")
-        state = state.select("sign", "a", "b", "distance")
+        state = state.filter((F.col("minors") > BLOCK) & ~F.col("chosen")).select("a", "b", "distance")
     named = reps.join(labels.withColumnRenamed("id", "rid"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     found = named.join(least, "label").select("rid", "component_id")
@@ -290,32 +287,74 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     )
 
 
-def _apart(state: DataFrame, labels: DataFrame) -> DataFrame:
-    """The groups whose members other than the first, a, have several labels: rows
-    (sign, a, b, distance, label, minor: not of the group's most common label,
-    minors: how many such members)."""
+def _apart(state: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """The families whose members other than the first, a, have several labels: rows
+    (a, b, distance, label, minors, size, chosen). Minor members are those outside
+    the family's most common label; about BLOCK of them are chosen for this turn."""
     named = state.join(labels.withColumnRenamed("id", "b"), "b", "left").withColumn("label", F.coalesce("label", "b"))
-    sizes = named.groupBy("sign", "label").agg(F.count(F.lit(1)).alias("n"))
-    major = sizes.groupBy("sign").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("size")).filter("size > top.n")
-    major = major.select("sign", F.col("top.label").alias("major"), (F.col("size") - F.col("top.n")).alias("minors"))
-    return named.join(major, "sign").withColumn("minor", F.col("label") != F.col("major")).drop("major")
-
-
-def _next_pairs(state: DataFrame, percent: int, turn: int) -> tuple[DataFrame, DataFrame]:
-    """The pairs to compare next, and the rows of groups that need another turn.
-
-    Minor members are compared with all members of another label whose distances
-    to the group's first member allow a link. Where there are more than BLOCK of
-    them, about BLOCK chosen by hash have their turn, and the others the next.
-    """
+    sizes = named.groupBy("a", "label").agg(F.count(F.lit(1)).alias("n"))
+    major = sizes.groupBy("a").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("size")).filter("size > top.n")
+    major = major.select("a", F.col("top.label").alias("major"), (F.col("size") - F.col("top.n")).alias("minors"), "size")
+    met = named.join(major, "a")
+    lot = F.pmod(F.xxhash64("b", F.lit(turn)), F.col("minors")) < BLOCK
+    return met.select("a", "b", "distance", "label", "minors", "size", ((F.col("label") != F.col("major")) & lot).alias("chosen"))
+
+
+def _compare_blocks(state: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b): the links between chosen members of a family and its members of
+    another label. A family's members are dealt to slices; the chosen go to each
+    slice, where an inverted index of their elements is met by one member after the other."""
     near = 1 - percent / 100 + 1e-9
-    chosen = F.col("minor") & (F.pmod(F.xxhash64("b", F.lit(turn)), F.col("minors")) < BLOCK)
-    dealt = state.withColumn("chosen", chosen)
-    x, y = dealt.filter("chosen").alias("x"), dealt.alias("y")
-    met = x.join(y, F.col("x.sign") == F.col("y.sign")).filter(
-        (F.col("x.label") != F.col("y.label"))
-        & (F.abs(F.col("x.distance") - F.col("y.distance")) <= near)
-        & (~F.col("y.chosen") | (F.col("x.b") < F.col("y.b")))
+    slices = F.ceil(F.col("size") / SLICE)
+    every = state.filter("chosen").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), slices - 1)))
+    each = state.withColumn("slice", F.pmod(F.xxhash64("b"), slices))
+    rows = every.select("a", "slice", F.lit(0).alias("kind"), "b", "label", "distance").union(
+        each.select("a", "slice", F.lit(1).alias("kind"), "b", "label", "distance")
     )
-    pairs = met.select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b"))
-    return pairs, dealt.filter((F.col("minors") > BLOCK) & ~F.col("chosen"))
+    rows = rows.join(texts.withColumnRenamed("rid", "b"), "b")
+    dealt = rows.repartition("a", "slice").sortWithinPartitions("a", "slice", "kind")
+
+    def run(batches):
+        at, held, index = None, [], None
+        for batch in batches:
+            out = []
+            cols = (batch.column(c).to_pylist() for c in ("a", "slice", "kind", "b", "label", "distance", "text"))
+            for a, piece, kind, b, label, distance, text in zip(*cols, strict=True):
+                elements = shingles(text, words)
+                if (a, piece) != at:
+                    at, held, index = (a, piece), [], None
+                if kind == 0:
+                    held.append((b, label, distance, elements))
+                    continue
+                if index is None:
+                    index = _BlockIndex(held)
+                out += [(min(b, c), max(b, c)) for c in index.links(b, label, distance, elements, near, percent)]
+            x, y = zip(*out, strict=True) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+class _BlockIndex:
+    """Sets of up to some hundred members, to be met by one set at a time."""
+
+    def __init__(self, held: list[tuple]):
+        self.ids = np.array([h[0] for h in held], np.int64)
+        self.labels = np.array([h[1] for h in held], np.int64)
+        self.distances = np.array([h[2] for h in held], np.float64)
+        self.sizes = np.array([len(h[3]) for h in held], np.int64)
+        elements = np.concatenate([h[3] for h in held]) if held else np.zeros(0, np.uint64)
+        owners = np.repeat(np.arange(len(held)), self.sizes)
+        order = np.argsort(elements, kind="stable")
+        self.elements, self.owners = elements[order], owners[order]
+
+    def links(self, b, label, distance, elements, near, percent) -> list[int]:
+        able = (self.labels != label) & (np.abs(self.distances - distance) <= near) & (self.ids != b)
+        if not able.any():
+            return []
+        low, high = (np.searchsorted(self.elements, elements, side) for side in ("left", "right"))
+        n = high - low
+        places = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        both = np.bincount(self.owners[places], minlength=len(self.ids))
+        able &= 100 * both >= percent * (self.sizes + len(elements) - both)
+        return self.ids[able].tolist()
