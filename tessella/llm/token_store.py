@@ -6,8 +6,7 @@ bytes; each distinct chunk is stored once. Files under ``path``:
 
 * ``chunks``: digest, payload (one byte 2 or 4: the width of an id; then the ids, little-endian)
 * ``recipes``, in ascending doc_id order: doc_id, start (ids before it), n_tokens,
-  digests (32 bytes a chunk, in order), lengths (ids of each chunk, little-endian
-  unsigned 32-bit), root (Merkle root of the document's digests)
+  digests and lengths (in ids) of its chunks in order, root (Merkle root of its digests)
 * ``manifest``: page (start // PAGE_TOKENS), n_docs, n_tokens, root (Merkle root of its documents' roots)
 
 Reading back re-hashes every stored chunk, so a damaged chunk has no name that a
@@ -94,10 +93,6 @@ def payload_ids(data: bytes) -> np.ndarray:
     return np.frombuffer(data, f"<u{data[0]}", offset=1).astype("<u4")
 
 
-def _split32(data: bytes) -> list[bytes]:
-    return [data[i : i + 32] for i in range(0, len(data), 32)]
-
-
 def _encode_chunks(path: str):
     def run(batches):
         e = encoder(path)
@@ -111,16 +106,15 @@ def _encode_chunks(path: str):
                 ends = cuts(at, at + len(ids), candidates)
                 pieces = [payload(flat[x:y]) for x, y in zip([at, *ends], ends, strict=False)]
                 names = [sha256(p).digest() for p in pieces]
-                lengths = np.diff([at, *ends]).astype("<u4").tobytes()
-                out.append((len(ids), b"".join(names), lengths, merkle_root(names), pieces))
+                out.append((len(ids), names, [y - x for x, y in zip([at, *ends], ends, strict=False)], merkle_root(names), pieces))
                 at += len(ids)
             n, names, lengths, roots, pieces = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("doc_id"),
                     pa.array(n, pa.int64()),
-                    pa.array(names, pa.binary()),
-                    pa.array(lengths, pa.binary()),
+                    pa.array(names, pa.list_(pa.binary())),
+                    pa.array(lengths, pa.list_(pa.int32())),
                     pa.array(roots, pa.binary()),
                     pa.array(pieces, pa.list_(pa.binary())),
                 ],
@@ -130,15 +124,6 @@ def _encode_chunks(path: str):
     return run
 
 
-def _chunk_rows(batches):
-    """(digest, payload) of each chunk, once a batch."""
-    for b in batches:
-        seen = {}
-        for names, pieces in zip(b.column("digests").to_pylist(), b.column("pieces").to_pylist(), strict=True):
-            seen.update(zip(_split32(names), pieces, strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.binary())], names=["digest", "payload"])
-
-
 def _page_root(t: pa.Table) -> pa.Table:
     t = t.sort_by("start")
     return pa.table(
@@ -154,11 +139,11 @@ def _page_root(t: pa.Table) -> pa.Table:
 def write_store(docs: DataFrame, path: str, tokenizer: str | None = None) -> None:
     """Encode ``docs`` (doc_id, text) and write the store's three tables under ``path``."""
     spark = docs.sparkSession
-    schema = "doc_id long, n_tokens long, digests binary, lengths binary, root binary, pieces array<binary>"
+    schema = "doc_id long, n_tokens long, digests array<binary>, lengths array<int>, root binary, pieces array<binary>"
     staged_at = new_path(spark, "encoded")
     source = docs.select(F.col("doc_id").cast("long"), "text")
     staged = written(source.mapInArrow(_encode_chunks(tokenizer or tokenizer_path()), schema), "encoded", staged_at)
-    chunks = staged.select("digests", "pieces").mapInArrow(_chunk_rows, "digest binary, payload binary")
+    chunks = staged.select(F.explode(F.arrays_zip("digests", "pieces")).alias("c")).select(F.col("c.digests").alias("digest"), F.col("c.pieces").alias("payload"))
     once = chunks.groupBy("digest").agg(F.first("payload").alias("payload"))
     once.write.option("compression", "zstd").parquet(f"{path}/chunks")
     recipes = running_start(staged.drop("pieces"), ["doc_id", "root"], "n_tokens", "start", "recipes")
@@ -223,7 +208,7 @@ def _references(batches):
     for b in batches:
         out = []
         for doc_id, start, names, lengths, root in zip(*(b.column(c).to_pylist() for c in ("doc_id", "start", "digests", "lengths", "root")), strict=True):
-            names, sizes = _split32(names), np.frombuffer(lengths, "<u4").astype(np.int64)
+            sizes = np.array(lengths, np.int64)
             whole = merkle_root(names) == root
             after = sizes.sum() - sizes.cumsum()
             out += [(doc_id, start, d, a, s, whole) for d, a, s in zip(names, after.tolist(), sizes.tolist(), strict=True)]

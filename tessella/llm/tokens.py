@@ -92,14 +92,17 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.first, self.inner, self.marks = _Pieces(self, ""), _Pieces(self, " "), _Marks(self)
-        self.line_break = self.library("\n")
+        self.line_break, self.space = self.library("\n"), self.letters[0x20]
 
     def library(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def word(self, text: str) -> bytes:
         """As ``library``, for letters that at most one space precedes: they are one piece of the pattern."""
-        spelt = text.encode().decode("latin-1").translate(self.letters)
+        if text.isascii():  # only the space is spelt otherwise
+            spelt = self.space + text[1:] if text[0] == " " else text
+        else:
+            spelt = text.encode().decode("latin-1").translate(self.letters)
         return array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
 
     def ids(self, text: str | None) -> bytes:
