@@ -16,6 +16,12 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(spark, path)
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import pii_report
+
+    return pii_report(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity
 
@@ -54,7 +60,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op3_toxicity, op4_best_fit_packing, op6_exact_dedup, op7_jaccard_join, op8_edit_fingerprint, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_pii, op3_toxicity, op4_best_fit_packing, op6_exact_dedup, op7_jaccard_join, op8_edit_fingerprint, op10_mixing)}
 
 ORACLES = {
     "op6_exact_dedup": r"""
