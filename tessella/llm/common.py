@@ -74,6 +74,18 @@ def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return docs.join(keys, docs["doc_id"].eqNullSafe(F.col("_id")) & (text_key(docs["text"]) == F.col("_key")), "left_anti")
 
 
+#: Rows of whole texts that go to a Python worker at a time.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS rows where they are larger:
+    texts can be long, and a batch is in memory several times on its way."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def words(text):
     """Number of words of a text column, null counting as empty."""
     return F.size(F.split(F.trim(F.translate(F.coalesce(text, F.lit("")), SPACE_CHARS, " " * 6)), " +")) - F.when(

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 BITS, VOTES = 512, 1536
 STEPS, SAMPLED, BANDS = 16, 5, 48
 #: Distance that an anchor keeps from others on each side, and the longest chunk.
@@ -236,6 +238,7 @@ def with_next(docs: DataFrame) -> DataFrame:
 
 def edit_fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each document."""
+    small_batches(docs.sparkSession)
     return with_next(docs).mapInArrow(_walk, _COLUMNS)
 
 

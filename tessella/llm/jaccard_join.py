@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_batches, written
 from .graph import components
 
 WORDS, PERCENT = 4, 85
@@ -258,6 +258,7 @@ def _texts_of(docs: DataFrame, reps: DataFrame, wanted: DataFrame, words: int =
 def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id (the smallest
     doc_id that links reach)."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     sets = written(docs.mapInArrow(_signed(words, percent), "doc_id long, n_shingles long, rid long, signs array<long>"), "sets")
     full = sets.filter("rid is not null")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_batches, written
 from .tokens import encoder, tokenizer_path
 
 CAPACITY = 1024
@@ -166,6 +166,7 @@ def _place(slots):
 def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id,
     offset, and with ``with_ids`` the ids (little-endian unsigned 32-bit)."""
+    small_batches(docs.sparkSession)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, number long" + ", ids binary" * with_ids
     source = docs.select(F.col("doc_id").cast("long"), "text")
     pieces = written(source.mapInArrow(_cut(tokenizer or tokenizer_path(), capacity, with_ids), schema), "pieces")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, removed, running_start, written
+from .common import new_path, removed, running_start, small_batches, written
 from .tokens import encoder, tokenizer_path
 
 WINDOW, BITS, LEAST, MOST = 16, 8, 64, 1024
@@ -139,6 +139,7 @@ def _page_root(t: pa.Table) -> pa.Table:
 def write_store(docs: DataFrame, path: str, tokenizer: str | None = None) -> None:
     """Encode ``docs`` (doc_id, text) and write the store's three tables under ``path``."""
     spark = docs.sparkSession
+    small_batches(spark)
     schema = "doc_id long, n_tokens long, digests array<binary>, lengths array<int>, root binary, pieces array<binary>"
     staged_at = new_path(spark, "encoded")
     source = docs.select(F.col("doc_id").cast("long"), "text")

@@ -15,7 +15,7 @@ from array import array
 #: Ends every document.
 END_ID = 2
 #: Pieces in a generation of a worker's cache, which holds two (about 150 bytes a piece).
-CACHE_PIECES = 350_000
+CACHE_PIECES = 250_000
 #: Letters, then ASCII marks up to the end: the pattern takes them as two pieces.
 _LETTERS_MARKS = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]+)\Z")
 #: White space that is neither a space nor a line break.
