@@ -34,6 +34,12 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import line_report
+
+    return line_report(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
@@ -52,6 +58,12 @@ def op8_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import curriculum
 
@@ -60,7 +72,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_pii, op3_toxicity, op4_best_fit_packing, op6_exact_dedup, op7_jaccard_join, op8_edit_fingerprint, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_pii, op3_toxicity, op4_best_fit_packing, op5_line_dedup, op6_exact_dedup, op7_jaccard_join, op8_edit_fingerprint, op9_license_scan, op10_mixing)}
 
 ORACLES = {
     "op6_exact_dedup": r"""
