@@ -105,7 +105,7 @@ def curriculum(docs: DataFrame, cycle=CYCLE, share: float = SHARE, most: float =
     # The order inside a source: by hash, then doc_id. The hash's range is cut into
     # slices, so that no window holds a whole source however hot it is.
     slices = max(MIN_SLICES, sizes.count() // SLICE_ROWS)
-    rank = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))
+    rank = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
     dealt = sizes.withColumn("rank", rank).withColumn("slice", F.floor(F.col("rank") * slices / (1 << 32)))
     sums = dealt.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
     before = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -129,7 +129,7 @@ def curriculum(docs: DataFrame, cycle=CYCLE, share: float = SHARE, most: float =
         whole = F.col("passes") > k
         middle = k * F.col("source_size") + F.col("start") + F.when(whole, F.col("size")).otherwise(F.col("part")) / 2
         there = (F.col("copies") > k) & (F.col("target") > 0)
-        return F.when(there, _position(F.least(F.lit(1.0), middle / F.col("target")), F.col("place"), cycle))
+        return F.when(there, F.round(_position(F.least(F.lit(1.0), middle / F.col("target")), F.col("place"), cycle), 9))
 
     out = met.withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(0).cast("int")).withColumn(
         "taken", (F.col("passes") * F.col("size") + F.col("part")).cast("long")
