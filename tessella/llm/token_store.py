@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import new_path, removed, running_start, small_batches, written
 from .tokens import encoder, tokenizer_path
 
-WINDOW, BITS, LEAST, MOST = 16, 8, 64, 1024
+WINDOW, BITS, LEAST, MOST = 16, 9, 128, 2048
 PAGE_TOKENS = 1 << 20
 _EMPTY_ROOT = sha256(b"").digest()
 
@@ -84,9 +84,13 @@ def merkle_root(digests: list[bytes]) -> bytes:
     return row[0]
 
 
-def payload(ids: np.ndarray) -> bytes:
-    wide = len(ids) and ids.max() > 0xFFFF
-    return (b"\x04" + ids.astype("<u4").tobytes()) if wide else (b"\x02" + ids.astype("<u2").tobytes())
+def payloads(ids: np.ndarray, edges: list[int]) -> list[bytes]:
+    """The stored form of the ids between each two edges: two bytes an id where that is enough."""
+    if len(ids) and ids.max() > 0xFFFF:
+        parts = [ids[x:y] for x, y in zip(edges, edges[1:], strict=False)]
+        return [p for q in parts for p in (payloads(q, [0, len(q)]) if q.max() <= 0xFFFF else [b"\x04" + q.astype("<u4").tobytes()])]
+    data = ids.astype("<u2").tobytes()
+    return [b"\x02" + data[2 * x : 2 * y] for x, y in zip(edges, edges[1:], strict=False)]
 
 
 def payload_ids(data: bytes) -> np.ndarray:
@@ -103,10 +107,10 @@ def _encode_chunks(path: str):
             flat, at = np.concatenate(streams), 0
             candidates, out = cut_candidates(flat), []
             for ids in streams:
-                ends = cuts(at, at + len(ids), candidates)
-                pieces = [payload(flat[x:y]) for x, y in zip([at, *ends], ends, strict=False)]
+                edges = [0, *(x - at for x in cuts(at, at + len(ids), candidates))]
+                pieces = payloads(ids, edges)
                 names = [sha256(p).digest() for p in pieces]
-                out.append((len(ids), names, [y - x for x, y in zip([at, *ends], ends, strict=False)], merkle_root(names), pieces))
+                out.append((len(ids), names, [y - x for x, y in zip(edges, edges[1:], strict=False)], merkle_root(names), pieces))
                 at += len(ids)
             n, names, lengths, roots, pieces = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays(
