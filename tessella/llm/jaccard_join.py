@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import new_path, removed, small_batches, written
 from .graph import components
 
 WORDS, PERCENT = 4, 85
@@ -260,13 +260,16 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     doc_id that links reach)."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    sets = written(docs.mapInArrow(_signed(words, percent), "doc_id long, n_shingles long, rid long, signs array<long>"), "sets")
-    full = sets.filter("rid is not null")
+    signed_at = new_path(docs.sparkSession, "signed")
+    signed = written(docs.mapInArrow(_signed(words, percent), "doc_id long, n_shingles long, rid long, signs array<long>"), "signed", signed_at)
+    sets = written(signed.drop("signs"), "sets")
+    full = signed.filter("rid is not null")
     whole = full.groupBy("rid").agg(F.min("doc_id").alias("doc_id"), F.first("signs").alias("signs")).filter("doc_id is not null")
     rows = whole.select("rid", F.explode("signs").alias("sign"))
     stars = rows.repartition("sign").sortWithinPartitions("sign", "rid").mapInArrow(_stars, "a long, b long")
     pairs = written(stars.distinct(), "pairs")
-    reps = full.groupBy("rid").agg(F.min("doc_id").alias("doc_id"))
+    removed(docs.sparkSession, signed_at)  # by far the largest table, and no longer read
+    reps = sets.filter("rid is not null").groupBy("rid").agg(F.min("doc_id").alias("doc_id"))
     texts = _texts_of(docs, reps, pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct(), words)
     met = written(_compare(pairs, texts, words, percent), "compared")
     labels = written(components(met.filter("linked").select("a", "b")), "labels")
