@@ -299,6 +299,8 @@ def _apart(state: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
     sizes = named.groupBy("a", "label").agg(F.count(F.lit(1)).alias("n"))
     major = sizes.groupBy("a").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("size")).filter("size > top.n")
     major = major.select("a", F.col("top.label").alias("major"), (F.col("size") - F.col("top.n")).alias("minors"), "size")
+    # written, so that the join with a large family's members can be split
+    major = written(major, "families")
     met = named.join(major, "a")
     lot = F.pmod(F.xxhash64("b", F.lit(turn)), F.col("minors")) < BLOCK
     return met.select("a", "b", "distance", "label", "minors", "size", ((F.col("label") != F.col("major")) & lot).alias("chosen"))
