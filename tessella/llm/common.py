@@ -35,9 +35,21 @@ def shared_dir(spark: SparkSession) -> str:
     return own.get()
 
 
+#: Tables that this process has made in the shared folder.
+_MADE: list[str] = []
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Remove all tables that operators have made so far. Results that haven't been
+    written elsewhere can't be read afterwards."""
+    while _MADE:
+        removed(spark, _MADE.pop())
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder; it is removed when the JVM ends."""
+    """A fresh path in the shared folder; it is removed by clean_up or when the JVM ends."""
     path = f"{shared_dir(spark)}/tessella-{label}-{uuid.uuid4().hex}"
+    _MADE.append(path)
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
