@@ -225,8 +225,9 @@ def test_lines(spark):
         want = []
         for i, _ in rows:
             mine = [(k, s) for j, k, s in occ if j == i]
-            want.append((i, len(mine), sum(first[find(s)] == (i, k) for k, s in mine), sum(len(size[find(s)]) > 1 for _, s in mine)))
-        assert of(line_dedup.line_report(docs(spark, rows, CLASHING)), "doc_id", "n_lines", "n_kept", "n_near") == sorted(want, key=str)
+            want.append((i, len(mine), sum(first[find(s)] == (i, k) for k, s in mine), sum(len(size[find(s)]) > 1 for _, s in mine),
+                         ",".join(f"{k}:{first[find(s)][0]}:{first[find(s)][1]}" for k, s in mine if first[find(s)] != (i, k))))
+        assert of(line_dedup.line_report(docs(spark, rows, CLASHING)), "doc_id", "n_lines", "n_kept", "n_near", "dropped") == sorted(want, key=str)
 
 
 def test_lines_odd(spark):
