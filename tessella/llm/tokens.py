@@ -18,8 +18,10 @@ END_ID = 2
 CACHE_PIECES = 350_000
 #: Letters, then ASCII marks up to the end: the pattern takes them as two pieces.
 _LETTERS_MARKS = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]+)\Z")
-#: White space that is neither a space nor a line break.
-_ASCII_SPACES = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+#: Begins a piece that stands behind a line break instead of a space.
+_BREAK = "\x00"
+#: White space that is neither a space nor a line break, and what would be taken for one.
+_ASCII_SPACES = _BREAK + "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 _WIDE_SPACES = "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 
 
@@ -59,6 +61,8 @@ class _Pieces(dict):
         ids = self.old.get(piece)
         if ids is not None:
             pass
+        elif piece[0] == _BREAK:
+            ids = self.encoder.line_break + self.encoder.first[piece[1:]]
         elif piece.isalpha():
             ids = self.encoder.word(self.lead + piece)
         elif (m := _LETTERS_MARKS.match(piece)) and m[1].isalpha():
@@ -112,11 +116,8 @@ class Encoder:
             return end
         if not plainly_spaced(text):
             return self.library(text) + end
-        inner, lines = self.inner.__getitem__, []
-        for line in text.split("\n"):
-            head, *rest = line.split(" ")
-            lines.append(self.first[head] + b"".join(map(inner, rest)))
-        return self.line_break.join(lines) + end
+        pieces = text.replace("\n", " " + _BREAK).split(" ")
+        return self.first[pieces[0]] + b"".join(map(self.inner.__getitem__, pieces[1:])) + end
 
 
 _ENCODERS: dict[str, Encoder] = {}
