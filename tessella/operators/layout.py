@@ -100,16 +100,13 @@ def in_box(cells: DataFrame, width: int = 1280, height: int = 800) -> DataFrame:
 # --- weighted bisection: one directory at a time, in single precision ---
 
 _F = np.float32
-#: (weight function, share of the middle by count, share of the middle by weight) of each way to split (fixed values).
-SPLITTERS = tuple(
-    (f, a, b)
-    for f, shares in (
-        ("root", ((0, 1), (1, 2), (2, 2), (2, 1), (1, 0))),
-        ("plain", ((0, 1), (0, 2), (2, 2), (2, 1), (1, 0), (0, 1))),
-        ("square", ((0, 2), (2, 2), (2, 1), (1, 0))),
-    )
-    for a, b in shares
-)
+#: (weight function, share of the middle by count, share of the middle by weight) of
+#: each way to split (fixed values; ways that split alike stand once, as the first wins ties).
+SPLITTERS = (
+    ("root", 0, 1), ("root", 1, 2), ("root", 2, 2), ("root", 2, 1), ("root", 1, 0),
+    ("plain", 0, 1), ("plain", 2, 2), ("plain", 2, 1),
+    ("square", 0, 1), ("square", 2, 2), ("square", 2, 1),
+)
 
 
 def _weights(nbytes: np.ndarray, kind: str) -> np.ndarray:
@@ -125,14 +122,10 @@ def _ratio(x: float, y: float) -> float:
 
 def split_point(weights: np.ndarray, a: int, b: int) -> int:
     """Where a run of images is cut: between the middle by count (a) and by weight (b), never at an end."""
-    n = len(weights)
-    half, before, middle = _F(np.cumsum(weights, dtype=_F)[-1]) / _F(2), _F(0), n - 1
-    for i, w in enumerate(weights):
-        after = before + w
-        if half - before < after - half:
-            middle = i
-            break
-        before = after
+    n, after = len(weights), np.cumsum(weights, dtype=_F)
+    half, before = after[-1] / _F(2), np.concatenate([[_F(0)], after[:-1]])
+    beyond = half - before < after - half
+    middle = int(beyond.argmax()) if beyond.any() else n - 1
     at = int(np.floor(_F(a * _F(n / 2) + b * middle) / _F(a + b) + _F(0.5)))
     return min(max(at, 1), n - 1)
 
@@ -147,7 +140,7 @@ def split_tree(weights: np.ndarray, low: int, high: int, a: int, b: int):
     return (split_tree(weights, low, at, a, b), split_tree(weights, at, high, a, b))
 
 
-def tree_fitness(tree, nbytes: np.ndarray) -> tuple[float, float, int]:
+def tree_fitness(tree, nbytes) -> tuple[float, float, int]:
     """(fitness, weight, depth): even splits and shallow trees are fitter."""
     if not isinstance(tree, tuple):
         return _F(0), _F(nbytes[tree]), 0
@@ -195,8 +188,12 @@ def bisect(w: np.ndarray, h: np.ndarray, nbytes: np.ndarray) -> list[tuple]:
     """Cells of one directory's images, in order. Weights that no split can balance
     (all zero, or one that dwarfs the rest) are cut next to an end."""
     best, best_fit = None, None
+    weights, seen = {k: _weights(nbytes, k) for k in ("root", "plain", "square")}, set()
     for kind, a, b in SPLITTERS:
-        tree = split_tree(_weights(nbytes, kind), 0, len(w), a, b)
+        tree = split_tree(weights[kind], 0, len(w), a, b)
+        if tree in seen:
+            continue
+        seen.add(tree)
         fit = tree_fitness(tree, nbytes)[0]
         if best is None or fit > best_fit:
             best, best_fit = tree, fit
@@ -219,6 +216,8 @@ def bisection_layout(images: DataFrame) -> DataFrame:
     """Unscaled cells (dir, pos, x, y, w, h) by weighted bisection, a grouped map over directories."""
     kind = dict(images.dtypes)["dir"]
     rows = images.select("dir", F.col("pos").cast("int"), F.col("w").cast("int"), F.col("h").cast("int"), F.col("bytes").cast("long"))
+    # as many tasks as the session shuffles to: a directory takes far longer than its bytes suggest
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "dir")
     return rows.groupBy("dir").applyInPandas(_bisected, f"dir {kind}, pos int, x double, y double, w double, h double")
 
 
