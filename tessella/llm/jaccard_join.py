@@ -27,10 +27,10 @@ components. Components merge after each turn. Only links are ever made into rows
 Two different shingles count as one only if their 64-bit hashes are equal.
 
 Defined cases: a null text is empty; an empty set links with nothing, and
-component_id is its own doc_id; a null doc_id links like any other row but names
-no component (it has a null component_id where no other id is reachable); rows
-that repeat a doc_id are documents of their own; an empty table gives an empty
-result; other columns are ignored.
+component_id is its own doc_id; a row with a null doc_id is in the component of
+the rows whose set equals its own, and without any links with nothing and has a
+null component_id; rows that repeat a doc_id are documents of their own; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
