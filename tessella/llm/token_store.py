@@ -33,6 +33,8 @@ from .tokens import encoder, tokenizer_path
 
 WINDOW, BITS, LEAST, MOST = 16, 9, 128, 2048
 PAGE_TOKENS = 1 << 20
+#: Pieces in a generation of a worker's cache: encoding is nearly all of the work here.
+CACHE = 700_000
 _EMPTY_ROOT = sha256(b"").digest()
 
 
@@ -99,7 +101,7 @@ def payload_ids(data: bytes) -> np.ndarray:
 
 def _encode_chunks(path: str):
     def run(batches):
-        e = encoder(path)
+        e = encoder(path, CACHE)
         for b in batches:
             streams = [np.frombuffer(e.ids(t), "<u4") for t in b.column("text").to_pylist()]
             if not streams:

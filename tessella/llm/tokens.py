@@ -55,14 +55,14 @@ class _Pieces(dict):
         self.encoder, self.lead, self.old = encoder, lead, {}
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE_PIECES:
+        if piece[:1] == _BREAK:  # not kept: its parts are
+            return self.encoder.line_break + self.encoder.first[piece[1:]]
+        if len(self) >= self.encoder.most:
             self.old = dict(self)
             self.clear()
         ids = self.old.get(piece)
         if ids is not None:
             pass
-        elif piece[0] == _BREAK:
-            ids = self.encoder.line_break + self.encoder.first[piece[1:]]
         elif piece.isalpha():
             ids = self.encoder.word(self.lead + piece)
         elif (m := _LETTERS_MARKS.match(piece)) and m[1].isalpha():
@@ -80,7 +80,7 @@ class _Marks(dict):
 
     def __missing__(self, marks: str) -> bytes:
         ids = self.encoder.library(marks)
-        if len(self) < CACHE_PIECES:
+        if len(self) < self.encoder.most:
             self[marks] = ids
         return ids
 
@@ -88,7 +88,8 @@ class _Marks(dict):
 class Encoder:
     """Encodes texts as the tokenizers library does, special strings as ordinary text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = CACHE_PIECES):
+        self.most = most
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -123,9 +124,9 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """This process's encoder for a vocabulary file."""
+def encoder(path: str, most: int = CACHE_PIECES) -> Encoder:
+    """This process's encoder for a vocabulary file, with room for ``most`` pieces a generation."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[path] = Encoder(path, most)
+    _ENCODERS[path].most = most
     return _ENCODERS[path]
-
