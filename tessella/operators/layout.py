@@ -216,8 +216,10 @@ def bisection_layout(images: DataFrame) -> DataFrame:
     """Unscaled cells (dir, pos, x, y, w, h) by weighted bisection, a grouped map over directories."""
     kind = dict(images.dtypes)["dir"]
     rows = images.select("dir", F.col("pos").cast("int"), F.col("w").cast("int"), F.col("h").cast("int"), F.col("bytes").cast("long"))
-    # as many tasks as the session shuffles to: a directory takes far longer than its bytes suggest
-    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "dir")
+    # A directory takes far longer than its bytes suggest, so tasks aren't merged by size.
+    # Twice the session's number: a shuffle to that number itself would be taken for
+    # one that the images may have behind them, and dropped.
+    rows = rows.repartition(2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "dir")
     return rows.groupBy("dir").applyInPandas(_bisected, f"dir {kind}, pos int, x double, y double, w double, h double")
 
 
