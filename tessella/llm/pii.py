@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 BEFORE, AFTER, SCORE_LEAST = 48, 24, 0.5
 _MARK, _INSTEAD = "\u0001", "\u0002"
-_BYTE = "0*+(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+_BYTE = "(?:0++|0*+(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9]))"
 
 #: kind: (pattern, prior, gain of a checksum, context words)
 KINDS = {

@@ -60,6 +60,16 @@ def test_base_spans(spark, small):
     assert pii.pii_report(docs(spark, [])).count() == 0
 
 
+def test_addresses_with_zero_parts(spark):
+    rows = [(i, t) for i, t in enumerate([
+        "10.0.0.1 192.168.0.1 0.0.0.0", "127.0.0.1", "00.000.0.00 01.0.0255.1", "256.0.0.0 0.0.0.0256", "0." * 500 + "0", "0" * 3000 + ".0.0.0 0.0.0." + "0" * 3000 + "256",
+    ])]
+    got = of(pii.pii_report(docs(spark, rows)), "doc_id", "n_ip")
+    assert got == [(i, len(base_spans(t)[1])) for i, t in rows]
+    assert [n for _, n in got] == [3, 1, 2, 0, 125, 1]
+    assert pii.masked(docs(spark, [(1, "at 10.0.0.1!")])).first()["text"] == "at [ip]!"
+
+
 def test_other_spans(spark):
     text = "IBAN DE89 3704 0044 0532 0130 00, not DE89 3704 0044 0532 0130 01; ssn 123-45-6789 or 000-45-6789, call (415) 555-1212"
     row = pii.pii_report(docs(spark, [(1, text), (2, "id (415) 555-1212 only")])).orderBy("doc_id").collect()
