@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from tessella.llm import exact_dedup, jaccard_join, mixing, packing, toxicity
 from tessella.llm.common import table, text_key, without, written
 
+#: Words of a shingle and least Jaccard similarity of near copies; op7's own settings bind only op7.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the threshold. The model learns from
@@ -28,7 +31,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest doc_id, of each component of similar documents."""
-    found = jaccard_join.jaccard_join(docs).filter("doc_id <> component_id").select("doc_id").distinct()
+    found = jaccard_join.jaccard_join(docs, words=NEAR_WORDS, percent=NEAR_PERCENT).filter("doc_id <> component_id").select("doc_id").distinct()
     return without(docs, docs.select("doc_id", text_key(F.col("text")).alias("text_key")).join(found, "doc_id", "left_semi"))
 
 

@@ -13,6 +13,7 @@ signature, and sets that may be similar share one:
   partitions with under two elements can be left out by a set that has at most
   ``slack`` of these: then a fuller partition agrees too, or both sets have more
   and keep them. That loses no pair, and spares the pairs that share one passage.
+  Where so many would be left out that the partitions doubled, only empty ones are.
 
 A set whose size lies just below the next band also signs for that band.
 
@@ -55,6 +56,8 @@ BLOCK, SLICE = 256, 1024
 BROADCAST_IDS = 1_000_000
 _GOLD = 0x9E3779B97F4A7C15
 _RATIO = 1.384  # largest over smallest size of a band
+#: Differing elements up to which partitions may double.
+FEW = 32
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -118,20 +121,23 @@ def edge(band: int) -> int:
 
 
 @lru_cache(None)
-def scheme(band: int, percent: int) -> tuple[int, int, int, np.ndarray | None]:
-    """(k, partitions, slack, subsets) of a band; subsets is None where each partition signs for itself."""
+def scheme(band: int, percent: int) -> tuple[int, int, int, np.ndarray | None, int]:
+    """(k, partitions, slack, subsets, fewest) of a band; subsets is None where each
+    partition signs for itself, and those with under ``fewest`` elements can be left out."""
     most = edge(band + 1) - 1
     k = 2 * (100 - percent) * most // (100 + percent)
     if k <= 4:
-        return k, k + 3, 0, np.array(list(combinations(range(k + 3), 3)))
-    least, slack = max(1, edge(band) * percent // 100), 0
-    while True:  # room for the partitions with under two elements that the smallest sets have, and a deviation
+        return k, k + 3, 0, np.array(list(combinations(range(k + 3), 3))), 0
+    least, slack, fewest = max(1, edge(band) * percent // 100), 0, 2
+    while True:  # room for the partitions with under ``fewest`` elements that the smallest sets have, and a deviation
         n = k + 1 + slack
         mean = least / n
-        weak = math.exp(-mean) * (1 + mean)
-        if slack >= n * weak + math.sqrt(n * weak * (1 - weak)) or slack > k:
-            return k, n, slack, None
+        weak = math.exp(-mean) * (1 + mean if fewest == 2 else 1)
+        if slack >= n * weak + math.sqrt(n * weak * (1 - weak)) or slack > k and (fewest == 1 or k <= FEW):
+            return k, n, slack, None, fewest
         slack += 1
+        if slack > k > FEW:
+            slack, fewest = 0, 1
 
 
 def band_of(size: int) -> int:
@@ -150,7 +156,7 @@ def signatures(elements: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     spread = mix(elements * np.uint64(_GOLD | 1))
     high, low = (spread >> np.uint64(32)).astype(np.float64), (spread & np.uint64(0xFFFFFFFF)).astype(np.float64)
     for at in (band, band + 1) if 100 * size >= percent * edge(band + 1) else (band,):
-        k, n, slack, subsets = scheme(at, percent)
+        k, n, slack, subsets, fewest = scheme(at, percent)
         if not k:
             continue  # only equal sets are that similar
         parts = ((elements >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
@@ -159,7 +165,7 @@ def signatures(elements: np.ndarray, percent: int = PERCENT) -> np.ndarray:
         counts = np.bincount(parts, minlength=n)
         sums = mix(sums + counts.astype(np.uint64) * np.uint64(_GOLD) + np.arange(n, dtype=np.uint64))
         if subsets is None:
-            weak = counts < 2
+            weak = counts < fewest
             if weak.sum() <= slack:
                 sums = sums[~weak]
         else:

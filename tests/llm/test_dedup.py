@@ -157,6 +157,21 @@ def test_signatures_meet():
             assert x & y
 
 
+def test_signatures_meet_at_80():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        n = int(rng.integers(6, 1500))
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        b, gone = a, int(rng.integers(0, n // 9 + 1))
+        b = np.unique(np.concatenate([a[rng.permutation(len(a))[gone:]], rng.integers(0, 1 << 63, int(rng.integers(0, n // 9 + 1)), dtype=np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        x, y = jaccard_join.signatures(a, 80).tolist(), jaccard_join.signatures(b, 80).tolist()
+        if 100 * both >= 80 * (len(a) + len(b) - both) and both < max(len(a), len(b)):
+            assert set(x) & set(y)
+        if n > 200:  # before, more partitions than that, mostly of one element or none
+            assert len(x) < 0.8 * n
+
+
 # --- lines ---
 
 
