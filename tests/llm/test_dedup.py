@@ -1,7 +1,7 @@
 import hashlib
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 from helpers_llm import CLASHING, ODD, docs, documents, of
@@ -245,6 +245,32 @@ def test_lines(spark):
         assert of(line_dedup.line_report(docs(spark, rows, CLASHING)), "doc_id", "n_lines", "n_kept", "n_near", "dropped") == sorted(want, key=str)
 
 
+def test_long_lines(spark):
+    rng, lines = random.Random(11), []
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
+    for kind in range(4):
+        for n in (126, 129, 161, 240):
+            base = {0: " ".join(word() for _ in range(60)), 1: "".join(rng.choice("abcdé") for _ in range(300)), 2: "ab " * 100, 3: "x" * 120 + " " + " ".join(word() for _ in range(40))}[kind][:n].strip()
+            for k in (0, 2, n // 20, n // 20 + 2):
+                new = list(base)
+                for j in range(k):  # spread, so that they leave short runs
+                    i = min(len(new) - 1, j * len(new) // k + rng.randint(0, 20))
+                    new[i : i + rng.randint(0, 1)] = rng.choice(["", "X", " ", "YZ"[j % 2]])
+                lines.append("".join(new).strip())
+    lines = sorted(set(lines))
+    t = lambda n: n // 20 if n >= 128 else 2
+    want = set()
+    for i, a in enumerate(lines):
+        for b in lines[:i]:
+            m = t(min(len(a), len(b)))
+            if abs(len(a) - len(b)) <= m and sum((Counter(a) - Counter(b)).values()) <= m and edit(a, b) <= m:
+                want.add(frozenset((a, b)))
+    df = docs(spark, [(i, x) for i, x in enumerate(lines)])
+    text = dict(of(line_dedup.occurrences(df), "lid", "line"))
+    assert {frozenset((text[a], text[b])) for a, b in of(line_dedup.links(df), "a", "b")} == want
+    assert sum(2 < edit(*p) for p in want) > 10
+
+
 def test_lines_odd(spark):
     got = of(line_dedup.line_report(docs(spark, ODD)), "doc_id", "n_lines", "n_kept")
     assert len(got) == len({i for i, _ in ODD}) and (None, 1, 1) in got and (1, 0, 0) in got
