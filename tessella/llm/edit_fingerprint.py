@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, written
+from .line_dedup import counts_apart, letter_counts
 
 BITS, VOTES = 512, 1536
 STEPS, SAMPLED, BANDS = 16, 5, 48
@@ -36,6 +37,8 @@ STEPS, SAMPLED, BANDS = 16, 5, 48
 REACH, LONGEST = 16, 128
 #: Characters worked on at a time, documents in a bucket, and the most buckets.
 BLOCK_CHARS, BUCKET_DOCS, MAX_BUCKETS = 1_000_000, 1024, 65_536
+#: Documents of a band in a slice of near_pairs.
+SLICE = 1024
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.default_rng(20240501)
 _CODES = 1024  # characters are hashed to 1..1023; 0 fills the space between texts
@@ -255,8 +258,9 @@ def fingerprint_column(docs: DataFrame) -> DataFrame:
 
 def near_pairs(docs: DataFrame, similarity: float = 0.8, bands: int = 32, band_bits: int = 20) -> DataFrame:
     """(a, b, similarity): documents whose fingerprints agree on a band of sampled
-    bits, each with the band's first document, verified by edit distance over the
-    longer text. A search by sampled bands: pairs near the threshold can be missed."""
+    bits, every two of a band, verified by edit distance over the longer text. A
+    band's documents are dealt to slices, and each two slices meet by themselves.
+    A search by sampled bands: pairs near the threshold can be missed."""
     rng = np.random.default_rng(7)
     samples = [sorted(rng.choice(BITS, band_bits, replace=False).tolist()) for _ in range(bands)]
 
@@ -268,12 +272,22 @@ def near_pairs(docs: DataFrame, similarity: float = 0.8, bands: int = 32, band_b
             found = np.stack([(bits[:, s].astype(np.int64) * weights).sum(axis=1) + (k << band_bits) for k, s in enumerate(samples)], axis=1)
             yield pa.RecordBatch.from_arrays([*out, pa.array(found.ravel(), pa.int64())], names=["doc_id", "band"])
 
-    rows = fingerprint_column(docs.filter("doc_id is not null")).mapInArrow(keys, "doc_id long, band long")
-    first = rows.groupBy("band").agg(F.min("doc_id").alias("a"))
-    pairs = rows.join(first, "band").filter("a < doc_id").select("a", F.col("doc_id").alias("b")).distinct()
+    rows = written(fingerprint_column(docs.filter("doc_id is not null")).mapInArrow(keys, "doc_id long, band long").distinct(), "bands")
+    hot = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SLICE)
+    parts = rows.join(hot.select("band", F.ceil(F.col("n") / SLICE).alias("parts")), "band", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = parts.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
+    left = dealt.select("band", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("parts") - 1)).alias("j"), F.col("doc_id").alias("x"))
+    right = dealt.select("band", F.explode(F.sequence(F.lit(0).cast("long"), "own")).alias("i"), F.col("own").alias("j"), F.col("doc_id").alias("y"))
+    met = left.join(right, ["band", "i", "j"]).filter("x < y or i < j and x <> y")
+    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    met = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a")
-    met = met.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
-    longer = F.greatest(F.length("x"), F.length("y"), F.lit(1))
-    distance = F.levenshtein("x", "y")
-    return met.withColumn("similarity", 1 - distance / longer).filter(F.col("similarity") >= similarity).select("a", "b", "similarity")
+    texts = texts.select("doc_id", "text", F.length("text").alias("n"), letter_counts(F.col("text")).alias("letters"))
+    # only pairs that so many edits can't join are ruled out before verification
+    first, second = (texts.select(*(F.col(c).alias(f"{k}_{c}") for c in texts.columns)) for k in "xy")
+    longer = F.greatest("x_n", "y_n", F.lit(1))
+    most = F.floor((1 - similarity) * longer).cast("int") + 1
+    able = (F.abs(F.col("x_n") - F.col("y_n")) <= most) & (counts_apart(F.col("x_letters"), F.col("y_letters")) <= 2 * most)
+    near = pairs.join(first, F.col("a") == F.col("x_doc_id")).join(second, F.col("b") == F.col("y_doc_id")).filter(able)
+    near = near.select("a", "b", "x_text", "y_text", longer.alias("longer"), most.alias("most"))
+    near = near.withColumn("distance", F.expr("levenshtein(x_text, y_text, most)")).filter("distance >= 0")  # -1 beyond most
+    return near.withColumn("similarity", 1 - F.col("distance") / F.col("longer")).filter(F.col("similarity") >= similarity).select("a", "b", "similarity")

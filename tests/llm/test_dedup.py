@@ -308,3 +308,20 @@ def test_near_pairs(spark):
     rows = [(i, t) for i, t in enumerate(base)] + [(100 + i, t[:300] + "!" + t[301:]) for i, t in enumerate(base)]
     found = of(edit_fingerprint.near_pairs(docs(spark, rows)), "a", "b")
     assert len(set(found) & {(i, 100 + i) for i in range(12)}) >= 11 and all(b - a == 100 for a, b in found)
+
+
+def test_near_pairs_of_shared_bands(spark, monkeypatch):
+    """Bands of so few bits that unrelated documents share them by chance."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    base = [" ".join(word() for _ in range(60)) for _ in range(30)]
+    rows = list(enumerate(base)) + [(100 * k + i, t[: 90 * k] + "!" + t[90 * k + 1 :]) for k in (1, 2) for i, t in enumerate(base[10:])]
+    want = []
+    for n, (a, s) in enumerate(rows):
+        for b, t in rows[n + 1 :]:
+            if sum((Counter(s) - Counter(t)).values()) <= 0.2 * max(len(s), len(t)) and 1 - edit(s, t) / max(len(s), len(t)) >= 0.8:
+                want.append((a, b))
+    assert len(want) == 60
+    for size in (1024, 3):
+        monkeypatch.setattr(edit_fingerprint, "SLICE", size, raising=False)
+        assert of(edit_fingerprint.near_pairs(docs(spark, rows), bands=32, band_bits=4), "a", "b") == sorted(want, key=str)
