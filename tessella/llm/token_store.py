@@ -10,8 +10,13 @@ bytes; each distinct chunk is stored once. Files under ``path``:
 * ``manifest``: page (start // PAGE_TOKENS), n_docs, n_tokens, root (Merkle root of its documents' roots)
 
 Reading back re-hashes every stored chunk, so a damaged chunk has no name that a
-recipe asks for; a document's checksum is combined from its chunks' checksums
-without moving the chunks.
+recipe asks for, and works each page's counts and root out again from its recipes,
+so a lost, doubled or replaced recipe is at odds with the manifest. A document's
+checksum is combined from its chunks' checksums without moving the chunks.
+
+Chunks stay in the task that made them: names alone are shuffled to find those
+that repeat, and of these all but the first are left out by a broadcast list, or
+beyond BROADCAST_CHUNKS of them by a shuffle of the chunks.
 
 Defined cases: a null or empty text is the end id alone; a null doc_id comes
 first; rows that repeat a doc_id are documents of their own, ordered by their
@@ -35,6 +40,8 @@ WINDOW, BITS, LEAST, MOST = 16, 9, 128, 2048
 PAGE_TOKENS = 1 << 20
 #: Pieces in a generation of a worker's cache: encoding is nearly all of the work here.
 CACHE = 700_000
+#: Repeated chunks up to which their list is broadcast (48 bytes each).
+BROADCAST_CHUNKS = 500_000
 _EMPTY_ROOT = sha256(b"").digest()
 
 
@@ -101,7 +108,9 @@ def payload_ids(data: bytes) -> np.ndarray:
 
 def _encode_chunks(path: str):
     def run(batches):
-        e = encoder(path, CACHE)
+        from pyspark import TaskContext
+
+        e, row = encoder(path, CACHE), TaskContext.get().partitionId() << 40
         for b in batches:
             streams = [np.frombuffer(e.ids(t), "<u4") for t in b.column("text").to_pylist()]
             if not streams:
@@ -117,6 +126,7 @@ def _encode_chunks(path: str):
             n, names, lengths, roots, pieces = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays(
                 [
+                    pa.array(range(row, row + len(n)), pa.int64()),
                     b.column("doc_id"),
                     pa.array(n, pa.int64()),
                     pa.array(names, pa.list_(pa.binary())),
@@ -124,8 +134,9 @@ def _encode_chunks(path: str):
                     pa.array(roots, pa.binary()),
                     pa.array(pieces, pa.list_(pa.binary())),
                 ],
-                names=["doc_id", "n_tokens", "digests", "lengths", "root", "pieces"],
+                names=["row", "doc_id", "n_tokens", "digests", "lengths", "root", "pieces"],
             )
+            row += len(n)
 
     return run
 
@@ -142,23 +153,39 @@ def _page_root(t: pa.Table) -> pa.Table:
     )
 
 
+def _once(staged: DataFrame) -> DataFrame:
+    """(digest, payload) of each distinct chunk of the encoded documents."""
+    names = staged.select("row", F.posexplode("digests").alias("place", "digest"))
+    first = F.min(F.struct("row", "place")).alias("first")
+    again = written(names.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), first).filter("n > 1").select(F.col("digest").alias("_again"), "first"), "again")
+    each = staged.select("row", F.posexplode(F.arrays_zip("digests", "pieces")).alias("place", "c"))
+    each = each.select("row", "place", F.col("c.digests").alias("digest"), F.col("c.pieces").alias("payload"))
+    if again.count() > BROADCAST_CHUNKS:
+        return each.groupBy("digest").agg(F.first("payload").alias("payload"))
+    met = each.join(F.broadcast(again), F.col("digest") == F.col("_again"), "left")
+    own = F.col("_again").isNull() | (F.col("first") == F.struct("row", "place"))
+    return met.filter(own).select("digest", "payload")
+
+
+def _pages(recipes: DataFrame) -> DataFrame:
+    """page, n_docs, n_tokens, root of the documents that start in each page of ids."""
+    rows = recipes.select("start", "n_tokens", "root", F.floor(F.col("start") / PAGE_TOKENS).alias("page"))
+    return rows.groupBy("page").applyInArrow(_page_root, "page long, n_docs long, n_tokens long, root binary")
+
+
 def write_store(docs: DataFrame, path: str, tokenizer: str | None = None) -> None:
     """Encode ``docs`` (doc_id, text) and write the store's three tables under ``path``."""
     spark = docs.sparkSession
     small_batches(spark)
-    schema = "doc_id long, n_tokens long, digests array<binary>, lengths array<int>, root binary, pieces array<binary>"
+    schema = "row long, doc_id long, n_tokens long, digests array<binary>, lengths array<int>, root binary, pieces array<binary>"
     staged_at = new_path(spark, "encoded")
     source = docs.select(F.col("doc_id").cast("long"), "text")
     staged = written(source.mapInArrow(_encode_chunks(tokenizer or tokenizer_path()), schema), "encoded", staged_at)
-    chunks = staged.select(F.explode(F.arrays_zip("digests", "pieces")).alias("c")).select(F.col("c.digests").alias("digest"), F.col("c.pieces").alias("payload"))
-    once = chunks.groupBy("digest").agg(F.first("payload").alias("payload"))
-    once.write.option("compression", "zstd").parquet(f"{path}/chunks")
-    recipes = running_start(staged.drop("pieces"), ["doc_id", "root"], "n_tokens", "start", "recipes")
+    _once(staged).write.option("compression", "zstd").parquet(f"{path}/chunks")
+    recipes = running_start(staged.drop("row", "pieces"), ["doc_id", "root"], "n_tokens", "start", "recipes")
     recipes.orderBy("start").write.option("compression", "zstd").parquet(f"{path}/recipes")
     removed(spark, staged_at)
-    rows = spark.read.parquet(f"{path}/recipes").select("start", "n_tokens", "root", F.floor(F.col("start") / PAGE_TOKENS).alias("page"))
-    pages = rows.groupBy("page").applyInArrow(_page_root, "page long, n_docs long, n_tokens long, root binary")
-    pages.write.parquet(f"{path}/manifest")
+    _pages(spark.read.parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
 
 
 def _zero_byte_operators() -> list[np.ndarray]:
@@ -237,15 +264,22 @@ def _contributions(batches):
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Per document, from the files: doc_id, start, n_tokens, ids_crc32, verified
-    (every chunk is there and sound, and the recipe has its Merkle root)."""
+    (every chunk is there and sound, the recipe has its Merkle root, and the recipes
+    of its page are those of the manifest)."""
     chunks = spark.read.parquet(f"{path}/chunks").mapInArrow(_checked_chunks, "digest binary, n_ids long, crc long")
-    recipes = spark.read.parquet(f"{path}/recipes").select("doc_id", "start", "digests", "lengths", "root")
-    refs = recipes.mapInArrow(_references, "doc_id long, start long, digest binary, after long, said long, whole boolean")
+    recipes = spark.read.parquet(f"{path}/recipes")
+    refs = recipes.select("doc_id", "start", "digests", "lengths", "root").mapInArrow(
+        _references, "doc_id long, start long, digest binary, after long, said long, whole boolean"
+    )
     met = refs.join(chunks, "digest", "left").select("doc_id", "start", "after", "said", "whole", "n_ids", "crc")
     parts = met.mapInArrow(_contributions, "doc_id long, start long, n_ids long, part long, sound boolean")
-    return parts.groupBy("doc_id", "start").agg(
-        F.coalesce(F.sum("n_ids"), F.lit(0)).alias("n_tokens"), F.expr("bit_xor(part)").alias("ids_crc32"), F.min("sound").alias("verified")
+    each = parts.groupBy("doc_id", "start").agg(
+        F.coalesce(F.sum("n_ids"), F.lit(0)).alias("n_tokens"), F.expr("bit_xor(part)").alias("ids_crc32"), F.min("sound").alias("sound")
     )
+    said = spark.read.parquet(f"{path}/manifest").withColumn("known", F.lit(True))
+    pages = _pages(recipes).join(said, ["page", "n_docs", "n_tokens", "root"], "left").select("page", F.coalesce("known", F.lit(False)).alias("known"))
+    met = each.withColumn("page", F.floor(F.col("start") / PAGE_TOKENS)).join(pages, "page")
+    return met.select("doc_id", "start", "n_tokens", "ids_crc32", (F.col("sound") & F.col("known")).alias("verified"))
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:

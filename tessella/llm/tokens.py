@@ -3,11 +3,14 @@
 A byte-level BPE with the usual pattern never merges across the start of a word
 that one space precedes, nor across a line break that stands alone. Texts whose
 white space is only that are cut there, and each piece's ids come from a cache;
-what the cache lacks, and every other text, goes through the library itself.
+what the cache lacks, and every other text, goes through the library itself, as
+do texts that hold an added token's content, and all texts where the file names
+another normalizer or pattern.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -85,8 +88,16 @@ class _Marks(dict):
         return ids
 
 
+def _byte_level(tokenizer) -> bool:
+    """Whether the vocabulary is a byte-level BPE with the usual pattern on texts as they are."""
+    said = json.loads(tokenizer.to_str())
+    cut = said["pre_tokenizer"] or {}
+    usual = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
+    return bool(usual) and said["normalizer"] is None and said["model"]["type"] == "BPE" and not said["model"].get("dropout")
+
+
 class Encoder:
-    """Encodes texts as the tokenizers library does, special strings as ordinary text."""
+    """Encodes texts as the tokenizers library does with add_special_tokens=False."""
 
     def __init__(self, path: str, most: int = CACHE_PIECES):
         self.most = most
@@ -94,7 +105,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.usual = _byte_level(self.tokenizer)
+        self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.first, self.inner, self.marks = _Pieces(self, ""), _Pieces(self, " "), _Marks(self)
         self.line_break, self.space = self.library("\n"), self.letters[0x20]
@@ -115,7 +127,7 @@ class Encoder:
         end = END_ID.to_bytes(4, "little")
         if not text:
             return end
-        if not plainly_spaced(text):
+        if not self.usual or not plainly_spaced(text) or any(map(text.__contains__, self.added)):
             return self.library(text) + end
         pieces = text.replace("\n", " " + _BREAK).split(" ")
         return self.first[pieces[0]] + b"".join(map(self.inner.__getitem__, pieces[1:])) + end

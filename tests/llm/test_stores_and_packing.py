@@ -15,7 +15,6 @@ def plain():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.tokenizer_path())
-    t.encode_special_tokens = True
     return lambda text: np.array([*t.encode(text or "", add_special_tokens=False).ids, 2], "<u4").tobytes()
 
 
@@ -28,6 +27,11 @@ def test_ids_are_the_library_s(plain, small):
         assert e.ids(text) == plain(text), repr(text)
 
 
+def test_added_tokens_have_their_ids():
+    ids = np.frombuffer(tokens.encoder(tokens.tokenizer_path()).ids("a <|endoftext|> b"), "<u4").tolist()
+    assert 50256 in ids and ids[-1] == 2
+
+
 def check_store(spark, df, rows, plain, tmp_path):
     path = str(tmp_path / "store")
     token_store.write_store(df, path)
@@ -71,6 +75,24 @@ def test_store_empty_and_damage(spark, tmp_path):
     assert of(token_store.read_documents(spark, path), "verified") == [(False,), (True,)]
 
 
+def test_store_lost_recipe(spark, tmp_path):
+    path = str(tmp_path / "lost")
+    token_store.write_store(docs(spark, [(i, f"words of {i}") for i in range(6)]), path)
+    assert of(token_store.read_documents(spark, path), "verified") == [(True,)] * 6
+    left = spark.read.parquet(f"{path}/recipes").filter("doc_id <> 3").collect()
+    spark.createDataFrame(left, spark.read.parquet(f"{path}/recipes").schema).write.mode("overwrite").parquet(f"{path}/recipes")
+    assert of(token_store.read_documents(spark, path), "verified") == [(False,)] * 5
+
+
+def test_store_repeated_chunks(spark, plain, tmp_path, monkeypatch):
+    rows = [(i, "the same words " * 900 if i % 2 else f"own {i}") for i in range(40)]
+    for k, most in enumerate((500_000, 0)):
+        monkeypatch.setattr(token_store, "BROADCAST_CHUNKS", most)
+        path = check_store(spark, docs(spark, rows), rows, plain, tmp_path / str(k))
+        chunks = spark.read.parquet(f"{path}/chunks")
+        assert chunks.count() == chunks.select("digest").distinct().count()
+
+
 def test_chunks_survive_edits():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 50000, 20000).astype("<u4")
