@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -22,7 +23,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none (local tests) a temporary folder is set.
+    Only where a local session names none (tests) a temporary folder is set; on a
+    cluster such a folder would be another one on each machine, so that is an error.
     """
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir", None)
@@ -30,6 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
         return path.rstrip("/")
     own = sc._jsc.sc().getCheckpointDir()
     if not own.isDefined():
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessella-"))
         own = sc._jsc.sc().getCheckpointDir()
     return own.get()
@@ -80,10 +84,29 @@ def text_key(text):
 
 
 def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose (doc_id, text_key) is in ``keys``."""
-    keys = written(keys.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct(), "dropped")
-    keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
-    return docs.join(keys, docs["doc_id"].eqNullSafe(F.col("_id")) & (text_key(docs["text"]) == F.col("_key")), "left_anti")
+    """``docs`` without the rows whose (doc_id, text_key) is in ``keys``, a written table."""
+    small = keys.count() <= BROADCAST_KEYS
+    keys = keys.select(F.col("doc_id").alias("__drop_id"), F.col("text_key").alias("__drop_key")).distinct()
+    met = docs["doc_id"].eqNullSafe(F.col("__drop_id")) & (text_key(docs["text"]) == F.col("__drop_key"))
+    return docs.join(F.broadcast(keys) if small else keys, met, "left_anti")
+
+
+def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``docs`` with one row of each group. ``found`` is a written table of the rows that
+    are in a group of several: doc_id, text_key, group, kept. Rows that aren't kept go;
+    of several that are kept in a group (they repeat a doc_id), one stays."""
+    rest = without(docs, found.filter("not kept"))
+    many = found.filter("kept").groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    if not many.head(1):
+        return rest
+    keys = found.filter("kept").join(many, "group", "left_semi").select("doc_id", "text_key", F.col("group").alias("__group")).distinct()
+    keys = written(keys.withColumnRenamed("doc_id", "__id").withColumnRenamed("text_key", "__key"), "repeated")
+    small = keys.count() <= BROADCAST_KEYS
+    met = rest["doc_id"].eqNullSafe(F.col("__id")) & (text_key(rest["text"]) == F.col("__key"))
+    marked = rest.join(F.broadcast(keys) if small else keys, met, "left")
+    # a null group is no group: only rows of repeated ones are reduced
+    one = marked.filter("__group is not null").dropDuplicates(["__group"])
+    return marked.filter("__group is null").union(one).select(*docs.columns)
 
 
 #: Rows of whole texts that go to a Python worker at a time.

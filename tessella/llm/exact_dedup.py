@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, text_key, without, written
+from .common import SPACE_CHARS, one_of_each, text_key, written
 
 #: Keys a bucket of the index should have on average, and the fewest buckets.
 BUCKET_KEYS, MIN_BUCKETS = 16_384, 512
@@ -156,21 +156,24 @@ def lookup(arrivals: DataFrame, index: DataFrame, buckets: int) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame, is_history=None) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, text_key.
 
     ``is_history`` is a condition that tells the rows already known from the
     arrivals (default: half of the rows, by a hash of doc_id); it decides who is
     indexed and who is looked up, never the result. Of the rows that repeat both
     the winner's doc_id and its text, all are marked kept.
+
+    Digests are worked out anew for each of the three uses of the rows: that is one
+    scan each, and spares a table of them all. A hot digest's rows meet its one
+    group in a join, which adaptive execution splits.
     """
     if is_history is None:
         is_history = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
-    rows = written(digests(docs), "digests")
-    history = written(grouped(rows.filter(is_history)), "history")
-    arrivals = grouped(rows.filter(~is_history))
-    buckets = max(MIN_BUCKETS, history.count() // BUCKET_KEYS)
-    index = written(build_index(history, buckets), "mph")
-    groups = lookup(arrivals, index, buckets).select(
+    # history and arrivals have no more digests than this
+    buckets = max(MIN_BUCKETS, docs.count() // BUCKET_KEYS)
+    rows = digests(docs)
+    index = build_index(grouped(digests(docs.filter(is_history))), buckets)
+    groups = lookup(grouped(digests(docs.filter(~is_history))), index, buckets).select(
         "digest", F.col("doc_id").alias("keep_id"), "group_size", F.col("n_chars").alias("keep_chars")
     )
     return rows.join(groups, "digest").select(
@@ -185,14 +188,5 @@ def exact_dedup(docs: DataFrame, is_history=None) -> DataFrame:
 
 def without_copies(docs: DataFrame, is_history=None) -> DataFrame:
     """The rows of ``docs``, all columns, that ``exact_dedup`` keeps; of several that it marks kept in one group, one."""
-    found = written(exact_dedup(docs, is_history).select("doc_id", "text_key", "kept", "text_sha256"), "copies")
-    rest = without(docs, found.filter("not kept").select("doc_id", "text_key"))
-    repeated = found.filter("kept").groupBy("text_sha256").agg(F.count(F.lit(1)).alias("n"), F.first("text_key").alias("text_key")).filter("n > 1")
-    if not repeated.head(1):
-        return rest
-    names = rest.columns
-    marked = rest.withColumn("_same", F.sha2(F.translate(F.coalesce("text", F.lit("")), SPACE_CHARS, ""), 256))
-    # a null digest is no group: only rows of repeated digests are reduced to one
-    marked = marked.join(repeated.select(F.col("text_sha256").alias("_same"), F.lit(True).alias("_many")), "_same", "left")
-    one = marked.filter("_many").dropDuplicates(["_same"])
-    return marked.filter("_many is null").union(one).select(*names)
+    found = exact_dedup(docs, is_history).filter("group_size > 1").select("doc_id", "text_key", F.col("text_sha256").alias("group"), "kept")
+    return one_of_each(docs, written(found, "copies"))

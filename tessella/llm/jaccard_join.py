@@ -3,17 +3,21 @@
 Sets of similar size fall into bands. Two sets of one band with Jaccard
 similarity of at least the threshold differ in at most k elements, where k
 follows from the band's largest size. The feature domain (64-bit shingle hashes)
-is partitioned, and subsets of partitions are enumerated, so that two sets that
-differ in at most k places agree on all of one subset; a subset's content is a
-signature, and sets that may be similar share one:
-
-* small k: k + 3 partitions, every subset of 3 of them;
-* larger k: pairs of partitions, of which at least one of some pair agrees: each
-  partition is a signature. There are ``slack`` partitions more than needed, so
-  partitions with under two elements can be left out by a set that has at most
-  ``slack`` of these: then a fuller partition agrees too, or both sets have more
-  and keep them. That loses no pair, and spares the pairs that share one passage.
-  Where so many would be left out that the partitions doubled, only empty ones are.
+is partitioned on two levels, n1 groups of n2 partitions, and in each group all
+subsets of n2 - k2 partitions are enumerated. Of more than k / (k2 + 1) groups
+one has at most k2 differing partitions, so that two sets that differ in at most
+k places agree on all of one subset; a subset's content is a signature, and sets
+that may be similar share one:
+
+* small k: one group of k + 3 partitions, every subset of 3 of them;
+* larger k: groups of three partitions, every two of them; where these would be
+  more than MOST_SIGNS for each element of the band's smallest sets, each partition
+  is a group and a signature of its own.
+
+From there on there are ``slack`` groups more than needed, so subsets without an
+element can be left out by a set that has them in at most ``slack`` groups: then one
+of the other groups agrees too. That loses no pair, and spares sets that share
+nothing from meeting.
 
 A set whose size lies just below the next band also signs for that band.
 
@@ -25,13 +29,18 @@ first member tell them apart (Jaccard distance is a metric): the members outside
 the family's largest component so far, BLOCK at a turn, with those of other
 components. Components merge after each turn. Only links are ever made into rows.
 
-Two different shingles count as one only if their 64-bit hashes are equal.
+Texts are read twice, for the ids of their sets and for signatures, so that these
+go into the one shuffle that needs them and no table holds them.
+
+Two different shingles count as one only if their 64-bit hashes are equal. Sets
+are told apart by 128 bits; their ids are 64 of these, and sets whose 64 bits
+meet by chance (some hundreds of 10^11) take the other 64.
 
 Defined cases: a null text is empty; an empty set links with nothing, and
-component_id is its own doc_id; a row with a null doc_id is in the component of
-the rows whose set equals its own, and without any links with nothing and has a
-null component_id; rows that repeat a doc_id are documents of their own; an empty
-table gives an empty result; other columns are ignored.
+component_id is its own doc_id; a row with a null doc_id links like any other, and
+its component_id is null where no row of its component has a doc_id; rows that
+repeat a doc_id are documents of their own; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,7 +55,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, removed, small_batches, written
+from .common import one_of_each, small_batches, text_key, written
 from .graph import components
 
 WORDS, PERCENT = 4, 85
@@ -56,8 +65,9 @@ BLOCK, SLICE = 256, 1024
 BROADCAST_IDS = 1_000_000
 _GOLD = 0x9E3779B97F4A7C15
 _RATIO = 1.384  # largest over smallest size of a band
-#: Differing elements up to which partitions may double.
-FEW = 32
+#: Differing elements up to which there is one group; (partitions in a group, those that may differ) beyond.
+FEW, LEVELS = 4, ((3, 1), (1, 0))
+MOST_SIGNS = 0.55
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -121,23 +131,26 @@ def edge(band: int) -> int:
 
 
 @lru_cache(None)
-def scheme(band: int, percent: int) -> tuple[int, int, int, np.ndarray | None, int]:
-    """(k, partitions, slack, subsets, fewest) of a band; subsets is None where each
-    partition signs for itself, and those with under ``fewest`` elements can be left out."""
+def scheme(band: int, percent: int) -> tuple[int, int, int, int, np.ndarray]:
+    """(k, n1, n2, slack, subsets) of a band: groups, partitions in each, groups more
+    than needed, and the partitions of each subset of a group."""
     most = edge(band + 1) - 1
     k = 2 * (100 - percent) * most // (100 + percent)
-    if k <= 4:
-        return k, k + 3, 0, np.array(list(combinations(range(k + 3), 3))), 0
-    least, slack, fewest = max(1, edge(band) * percent // 100), 0, 2
-    while True:  # room for the partitions with under ``fewest`` elements that the smallest sets have, and a deviation
-        n = k + 1 + slack
-        mean = least / n
-        weak = math.exp(-mean) * (1 + mean if fewest == 2 else 1)
-        if slack >= n * weak + math.sqrt(n * weak * (1 - weak)) or slack > k and (fewest == 1 or k <= FEW):
-            return k, n, slack, None, fewest
-        slack += 1
-        if slack > k > FEW:
-            slack, fewest = 0, 1
+    if k <= FEW:
+        return k, 1, k + 3, 0, np.array(list(combinations(range(k + 3), 3)))
+    least = max(1, edge(band) * percent // 100)
+    for n2, k2 in LEVELS:
+        subsets, need, slack = np.array(list(combinations(range(n2), n2 - k2))), k // (k2 + 1) + 1, 0
+        while True:  # room for the groups with an empty subset that the smallest sets have, and a deviation
+            n1 = need + slack
+            none = math.exp(-least / (n2 * n1))
+            weak = sum(math.comb(n2, i) * none**i * (1 - none) ** (n2 - i) for i in range(n2 - k2, n2 + 1))
+            if slack >= n1 * weak + math.sqrt(n1 * weak * (1 - weak)) or slack >= need:
+                break
+            slack += 1
+        if n1 * len(subsets) <= MOST_SIGNS * edge(band):
+            break
+    return k, n1, n2, slack, subsets
 
 
 def band_of(size: int) -> int:
@@ -156,42 +169,60 @@ def signatures(elements: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     spread = mix(elements * np.uint64(_GOLD | 1))
     high, low = (spread >> np.uint64(32)).astype(np.float64), (spread & np.uint64(0xFFFFFFFF)).astype(np.float64)
     for at in (band, band + 1) if 100 * size >= percent * edge(band + 1) else (band,):
-        k, n, slack, subsets, fewest = scheme(at, percent)
+        k, n1, n2, slack, subsets = scheme(at, percent)
         if not k:
             continue  # only equal sets are that similar
+        n = n1 * n2
         parts = ((elements >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
         # sums of 32-bit halves are exact in a double
         sums = (np.bincount(parts, high, n).astype(np.uint64) << np.uint64(32)) + np.bincount(parts, low, n).astype(np.uint64)
-        counts = np.bincount(parts, minlength=n)
-        sums = mix(sums + counts.astype(np.uint64) * np.uint64(_GOLD) + np.arange(n, dtype=np.uint64))
-        if subsets is None:
-            weak = counts < fewest
-            if weak.sum() <= slack:
-                sums = sums[~weak]
-        else:
-            sums = sums[subsets].sum(axis=1, dtype=np.uint64) + np.arange(len(subsets), dtype=np.uint64)
-        out.append(mix(sums ^ np.uint64((at + 1) * _GOLD % (1 << 64))))
+        counts = np.bincount(parts, minlength=n).reshape(n1, n2)[:, subsets].sum(axis=2)
+        sums = sums.reshape(n1, n2)[:, subsets].sum(axis=2, dtype=np.uint64)
+        sums += counts.astype(np.uint64) * np.uint64(_GOLD)
+        sums = mix(sums + np.arange(sums.size, dtype=np.uint64).reshape(sums.shape) * np.uint64(_STEP))
+        if slack:
+            empty = counts == 0
+            if empty.any(axis=1).sum() <= slack:
+                sums = sums[~empty]
+        out.append(mix(sums.ravel() ^ np.uint64((at + 1) * _GOLD % (1 << 64))))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def set_id(elements: np.ndarray) -> int:
-    return int.from_bytes(blake2b(elements.tobytes(), digest_size=8).digest(), "little", signed=True)
+def set_ids(elements: np.ndarray) -> tuple[int, int]:
+    """128 bits that tell a set from others, as two numbers."""
+    said = blake2b(elements.tobytes(), digest_size=16).digest()
+    return int.from_bytes(said[:8], "little", signed=True), int.from_bytes(said[8:], "little", signed=True)
+
+
+def _rid(elements: np.ndarray, clashes: set) -> int:
+    """A set's id: its first 64 bits, or the others where these are another set's too."""
+    x, y = set_ids(elements)
+    return y if x in clashes else x
+
+
+def _sized(words: int):
+    def run(batches):
+        for b in batches:
+            sets = [shingles(text, words) for text in b.column("text").to_pylist()]
+            ids = [set_ids(s) if len(s) else (None, None) for s in sets]
+            low, high = zip(*ids, strict=True) if ids else ((), ())
+            cols = [pa.array(list(map(len, sets)), pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), *cols], names=["doc_id", "text_key", "n_shingles", "low", "high"])
+
+    return run
 
 
-def _signed(words: int, percent: int):
+def _signed(words: int, percent: int, clashes: set):
     def run(batches):
         for b in batches:
-            sizes, ids, signs = [], [], []
+            ids, signs = [], []
             for text in b.column("text").to_pylist():
                 s = shingles(text, words)
-                sizes.append(len(s))
-                ids.append(set_id(s) if len(s) else None)
+                ids.append(_rid(s, clashes) if len(s) else None)
                 signs.append(signatures(s, percent).view(np.int64) if len(s) else np.zeros(0, np.int64))
             at = np.cumsum([0, *map(len, signs)])
             lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(signs) if signs else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), lists], names=["doc_id", "n_shingles", "rid", "signs"]
-            )
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.int64()), lists], names=["doc_id", "rid", "signs"])
 
     return run
 
@@ -244,16 +275,16 @@ def _compare(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     return dealt.mapInArrow(_compared(words, percent), "a long, b long, linked boolean, distance double")
 
 
-def _texts_of(docs: DataFrame, reps: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFrame:
+def _texts_of(docs: DataFrame, reps: DataFrame, wanted: DataFrame, words: int, clashes: set) -> DataFrame:
     """(rid, text) of the wanted representatives."""
     ids = written(reps.join(wanted, "rid", "left_semi").select("rid", "doc_id"), "wanted")
     small = ids.count() <= BROADCAST_IDS
-    keys = ids.select("doc_id").distinct()
-    some = docs.join(F.broadcast(keys) if small else keys, "doc_id", "left_semi").select("text")
+    keys = ids.select(F.col("doc_id").alias("_id")).distinct()
+    some = docs.join(F.broadcast(keys) if small else keys, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
 
     def run(batches):
         for b in batches:
-            rids = [set_id(shingles(t, words)) for t in b.column("text").to_pylist()]
+            rids = [_rid(shingles(t, words), clashes) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), b.column("text")], names=["rid", "text"])
 
     # a doc_id that repeats may bring texts that no one asked for, or one twice
@@ -261,22 +292,43 @@ def _texts_of(docs: DataFrame, reps: DataFrame, wanted: DataFrame, words: int =
     return written(met.dropDuplicates(["rid"]), "texts")
 
 
-def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row for each document: doc_id, n_shingles, component_id (the smallest
-    doc_id that links reach)."""
+def _pairs(docs: DataFrame, sets: DataFrame, reps: DataFrame, words: int, percent: int, clashes: set) -> DataFrame:
+    """(a, b): each representative with the first one of each of its signatures."""
+    skip = sets.join(reps.withColumnRenamed("doc_id", "_rep"), "rid").filter(~F.col("doc_id").eqNullSafe(F.col("_rep")))
+    skip = written(skip.select(F.col("rid").alias("_rid"), F.col("doc_id").alias("_id")).distinct(), "copies")
+    small = skip.count() <= BROADCAST_IDS
+    signed = docs.mapInArrow(_signed(words, percent, clashes), "doc_id long, rid long, signs array<long>").filter("rid is not null")
+    copy = (F.col("rid") == F.col("_rid")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    signed = signed.join(F.broadcast(skip) if small else skip, copy, "left_anti").select("rid", "signs")
+    # sets that several rows with the representative's own doc_id have
+    again = written(reps.filter("n_own > 1").select(F.col("rid").alias("_rid")), "again")
+    if again.head(1):
+        again = F.broadcast(again) if again.count() <= BROADCAST_IDS else again
+        one = signed.join(again, F.col("rid") == F.col("_rid"), "left_semi").groupBy("rid").agg(F.first("signs").alias("signs"))
+        signed = signed.join(again, F.col("rid") == F.col("_rid"), "left_anti").union(one)
+    rows = signed.select("rid", F.explode("signs").alias("sign"))
+    return rows.repartition("sign").sortWithinPartitions("sign", "rid").mapInArrow(_stars, "a long, b long").distinct()
+
+
+def clusters(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row for each document: doc_id, text_key, n_shingles, label (of its
+    component; null for an empty set), component_id."""
     small_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    signed_at = new_path(docs.sparkSession, "signed")
-    signed = written(docs.mapInArrow(_signed(words, percent), "doc_id long, n_shingles long, rid long, signs array<long>"), "signed", signed_at)
-    sets = written(signed.drop("signs"), "sets")
-    full = signed.filter("rid is not null")
-    whole = full.groupBy("rid").agg(F.min("doc_id").alias("doc_id"), F.first("signs").alias("signs")).filter("doc_id is not null")
-    rows = whole.select("rid", F.explode("signs").alias("sign"))
-    stars = rows.repartition("sign").sortWithinPartitions("sign", "rid").mapInArrow(_stars, "a long, b long")
-    pairs = written(stars.distinct(), "pairs")
-    removed(docs.sparkSession, signed_at)  # by far the largest table, and no longer read
-    reps = sets.filter("rid is not null").groupBy("rid").agg(F.min("doc_id").alias("doc_id"))
-    texts = _texts_of(docs, reps, pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct(), words)
+    docs = docs.select(F.col("doc_id").cast("long"), "text", text_key(F.col("text")).alias("text_key"))
+    sets = written(docs.mapInArrow(_sized(words), "doc_id long, text_key long, n_shingles long, low long, high long"), "sets")
+    docs = docs.select("doc_id", "text")
+    met = sets.filter("low is not null").groupBy("low").agg(F.min("high").alias("x"), F.max("high").alias("y")).filter("x <> y")
+    # of n sets, about n * n / 2^65: some hundreds of 10^11
+    clashes = {r["low"] for r in met.collect()}
+    rid = F.col("low")
+    if clashes:
+        rid = F.when(F.col("low").isin(*clashes), F.col("high")).otherwise(rid)
+    sets = sets.withColumn("rid", rid).drop("low", "high")
+    by_row = sets.filter("rid is not null").groupBy("rid", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n")).alias("first")
+    reps = by_row.groupBy("rid").agg(first).select("rid", F.col("first.doc_id").alias("doc_id"), F.col("first.n").alias("n_own"))
+    pairs = written(_pairs(docs, sets, reps, words, percent, clashes), "pairs")
+    texts = _texts_of(docs, reps, pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct(), words, clashes)
     met = written(_compare(pairs, texts, words, percent), "compared")
     labels = written(components(met.filter("linked").select("a", "b")), "labels")
     state = met.select("a", "b", "distance")
@@ -291,10 +343,27 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
         state = state.filter((F.col("minors") > BLOCK) & ~F.col("chosen")).select("a", "b", "distance")
     named = reps.join(labels.withColumnRenamed("id", "rid"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    found = named.join(least, "label").select("rid", "component_id")
-    return sets.join(found, "rid", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
-    )
+    found = named.join(least, "label").select("rid", "label", "component_id")
+    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    return sets.join(found, "rid", "left").select("doc_id", "text_key", "n_shingles", "label", component.alias("component_id"))
+
+
+def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row for each document: doc_id, n_shingles, component_id (the smallest
+    doc_id that links reach)."""
+    return clusters(docs, words, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def without_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns, without all but one of each component: the
+    row of the smallest doc_id (null last), then the smallest hash of the text. Of
+    rows that repeat that doc_id and text, one stays. Documents without words all stay."""
+    rows = clusters(docs, words, percent).filter("label is not null").select("doc_id", "text_key", "label")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")
+    several = rows.groupBy("label").agg(first, F.count(F.lit(1)).alias("n")).filter("n > 1")
+    kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
+    found = rows.join(several, "label").select("doc_id", "text_key", F.col("label").alias("group"), kept.alias("kept"))
+    return one_of_each(docs, written(found, "near-copies"))
 
 
 def _apart(state: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
