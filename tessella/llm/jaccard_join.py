@@ -326,7 +326,8 @@ def clusters(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
     sets = sets.withColumn("rid", rid).drop("low", "high")
     by_row = sets.filter("rid is not null").groupBy("rid", "doc_id").agg(F.count(F.lit(1)).alias("n"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n")).alias("first")
-    reps = by_row.groupBy("rid").agg(first).select("rid", F.col("first.doc_id").alias("doc_id"), F.col("first.n").alias("n_own"))
+    # written, so that the join with the rows of a set that many have can be split
+    reps = written(by_row.groupBy("rid").agg(first).select("rid", F.col("first.doc_id").alias("doc_id"), F.col("first.n").alias("n_own")), "reps")
     pairs = written(_pairs(docs, sets, reps, words, percent, clashes), "pairs")
     texts = _texts_of(docs, reps, pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct(), words, clashes)
     met = written(_compare(pairs, texts, words, percent), "compared")

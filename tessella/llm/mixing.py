@@ -105,7 +105,9 @@ def curriculum(docs: DataFrame, cycle=CYCLE, share: float = SHARE, most: float =
     # The order inside a source: by hash, then doc_id. The hash's range is cut into
     # slices, so that no window holds a whole source however hot it is.
     slices = max(MIN_SLICES, sizes.count() // SLICE_ROWS)
-    rank = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
+    # rows without a doc_id are spread by their texts
+    said = F.coalesce(F.col("doc_id").cast("string"), F.col("text_key").cast("string"))
+    rank = F.conv(F.substring(F.md5(said), 1, 8), 16, 10).cast("long")
     dealt = sizes.withColumn("rank", rank).withColumn("slice", F.floor(F.col("rank") * slices / (1 << 32)))
     sums = dealt.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
     before = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -145,29 +147,41 @@ def first_words(text, n):
     return F.array_join(F.slice(F.split(text, f"(?<!{space})(?={space})"), 1, n), "")
 
 
+#: What identifies a row of documents for the mix: rows alike in all three stand for each other.
+_SAME = ("__mix_id", "__mix_key", "__mix_source")
+
+
 def mixed(docs: DataFrame, cycle=CYCLE, share: float = SHARE, most: float = MOST) -> DataFrame:
     """The documents as the mix takes them, all columns, range-sorted by training
     position: a row for each copy; the last copy of the document that straddles its
     source's target has its first words only (and n_chars, where there is such a
-    column, their length). Of rows that repeat doc_id and text, each stands for its own.
+    column, their length). Of rows that repeat doc_id, text and source, each stands
+    for its own; null texts and texts without words are taken no words of, and go.
     """
     names = docs.columns
-    plan = written(curriculum(docs, cycle, share, most).filter("copies > 0"), "curriculum")
-    turn = Window.partitionBy("doc_id", "text_key").orderBy("position", "second_position")
-    plan = plan.withColumn("turn", F.row_number().over(turn))
+    plan = curriculum(docs, cycle, share, most).filter("copies > 0")
     plan = plan.select(
-        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "turn", "taken", "copies", F.col("size").alias("_size"),
-        F.array("position", "second_position").alias("positions"),
-    )
-    keyed = docs.withColumn("_key2", text_key(F.col("text")))
-    keyed = keyed.withColumn("_turn", F.row_number().over(Window.partitionBy("doc_id", "_key2").orderBy("source")))
-    met = keyed.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key2") == F.col("_key")) & (F.col("_turn") == F.col("turn")))
-    each = met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    left = F.col("taken") - (F.col("_copy") - 1) * F.col("_size")
-    cut = (left < F.col("_size")) & (left > 0)
-    at = F.when(F.col("_copy") <= 2, F.element_at("positions", F.least(F.col("_copy"), F.lit(2)))).otherwise(F.lit(1.0))
-    each = each.withColumn("_at", at).withColumn("_text", F.when(cut, first_words(F.col("text"), left.cast("int"))).otherwise(F.col("text")))
-    out = each.withColumn("text", F.col("_text"))
+        *(F.col(c).alias(k) for c, k in zip(("doc_id", "text_key", "source"), _SAME, strict=True)),
+        *(F.col(c).alias(f"__mix_{c}") for c in ("size", "taken", "copies", "position", "second_position")),
+    )
+    plan = written(plan, "curriculum")
+    own = [F.col("doc_id"), text_key(F.col("text")), F.col("source")]
+    met = F.lit(True)
+    for c, k in zip(own, _SAME, strict=True):
+        met = met & c.eqNullSafe(F.col(k))
+    if plan.groupBy(*_SAME).count().filter("count > 1").head(1):
+        # rows that are alike take the plan's rows in turn
+        turn = lambda cols, order: F.row_number().over(Window.partitionBy(*cols).orderBy(*order))
+        plan = plan.withColumn("__mix_turn", turn(_SAME, ("__mix_position", "__mix_second_position")))
+        docs = docs.withColumn("__mix_own", turn(own, (F.lit(0),)))
+        met = met & (F.col("__mix_own") == F.col("__mix_turn"))
+    each = docs.join(plan, met).withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies"))))
+    size, copy = F.col("__mix_size"), F.col("__mix_copy")
+    left = F.col("__mix_taken") - (copy - 1) * size
+    cut = (left < size) & (left > 0)
+    at = F.when(copy == 1, F.col("__mix_position")).when(copy == 2, F.col("__mix_second_position")).otherwise(F.lit(1.0))
+    text = F.when(cut, first_words(F.col("text"), left.cast("int"))).otherwise(F.col("text"))
+    each = each.withColumn("__mix_at", at).withColumn("__mix_cut", cut).withColumn("text", text)
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.orderBy("_at", "doc_id").select(*names)
+        each = each.withColumn("n_chars", F.when(F.col("__mix_cut"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return each.orderBy("__mix_at", "doc_id", "__mix_copy").select(*names)

@@ -15,6 +15,10 @@ The k-th piece of a length then finds its place by its number among the pieces
 of that length: numbers are counted inside each task and shifted by the counts
 of earlier tasks, so no length, however common, meets in one task.
 
+``pack_in_order`` packs documents that stand in training order: the order is cut
+into ranges of RANGE_ROWS documents, each range has a plan of its own, and sequences
+are numbered range by range, so that training on them in order follows it.
+
 Defined cases: a null or empty text is the end id alone; a null doc_id and rows
 that repeat a doc_id are documents of their own; an empty table gives an empty
 result; other columns are ignored.
@@ -35,6 +39,8 @@ from .common import small_batches, written
 from .tokens import encoder, tokenizer_path
 
 CAPACITY = 1024
+#: Documents of a file of the training order that are packed together, at most.
+RANGE_ROWS = 16_384
 
 
 def pack_histogram(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
@@ -118,14 +124,14 @@ def piece_starts(n: int, capacity: int) -> list[int]:
     return list(range(-(-n % capacity), n, capacity)) if n > capacity else [0]
 
 
-def _cut(path: str, capacity: int, with_ids: bool):
+def _cut(path: str, capacity: int, with_ids: bool, kept: tuple[str, ...] = ()):
     def run(batches):
         from pyspark import TaskContext
 
         e, task, ranks = encoder(path), TaskContext.get().partitionId(), Counter()
         for b in batches:
-            rows, ids = [], []
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+            rows, ids, owners = [], [], []
+            for k, (doc_id, text) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True)):
                 data = e.ids(text)
                 n = len(data) // 4
                 starts = piece_starts(n, capacity)
@@ -134,6 +140,7 @@ def _cut(path: str, capacity: int, with_ids: bool):
                     part = data[4 * x : 4 * y]
                     rows.append((doc_id, i, x, y - x, zlib.crc32(part), task, ranks[y - x]))
                     ranks[y - x] += 1
+                    owners.append(k)
                     if with_ids:
                         ids.append(part)
             cols = list(zip(*rows, strict=True)) if rows else [()] * 7
@@ -142,6 +149,8 @@ def _cut(path: str, capacity: int, with_ids: bool):
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "number"]
             if with_ids:
                 arrays, names = [*arrays, pa.array(ids, pa.binary())], [*names, "ids"]
+            for c in kept:
+                arrays, names = [*arrays, b.column(c).take(pa.array(owners, pa.int64()))], [*names, c]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return run
@@ -182,6 +191,43 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
     return numbered.select(*cols, "number").mapInArrow(_place(slots), out)
 
 
+def _pack_range(capacity: int):
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("place", "ascending"), ("piece", "ascending")])
+        length = t.column("length").to_numpy()
+        sizes, counts = np.unique(length, return_counts=True)
+        slots = plan_slots(pack_histogram(dict(zip(sizes.tolist(), counts.tolist(), strict=True)), capacity))
+        order = np.argsort(length, kind="stable")
+        number = np.empty(len(length), np.int64)  # among the range's pieces of that length
+        number[order] = np.arange(len(length)) - np.repeat(np.cumsum(counts) - counts, counts)
+        i = np.searchsorted(slots["key"], (length << 44) + number, "right") - 1
+        sequence = (t.column("range")[0].as_py() << 27) + slots["sequence"][i] + number - slots["first"][i]
+        names = ["doc_id", "piece", "start", "length", "ids_crc32", "place"]
+        return pa.table([*(t.column(n) for n in names), pa.array(sequence), pa.array(slots["offset"][i])], names=[*names, "sequence_id", "offset"])
+
+    return run
+
+
+def pack_in_order(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
+    """As ``pack``, for documents whose files hold them in training order, part after
+    part: also ``place``, a row's number in that order (copies of a document differ in
+    it). Sequences of earlier ranges have smaller ids. Documents that come from no
+    files have no order; they are packed as one range for each of their tasks."""
+    small_batches(docs.sparkSession)
+    if docs.inputFiles():
+        said = docs.metadataColumn("_metadata")
+        file, row = F.coalesce(F.regexp_extract(said["file_name"], r"part-(\d+)", 1).try_cast("long"), F.lit(0)), said["row_index"]
+    else:
+        file, row = F.spark_partition_id().cast("long"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    # files, blocks of RANGE_ROWS and sequences of a range share 63 bits
+    block = F.shiftleft(file, 16) + F.floor(row / RANGE_ROWS)
+    source = docs.select(F.col("doc_id").cast("long"), "text", block.alias("range"), (F.shiftleft(file, 43) + row).alias("place"))
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, number long, range long, place long"
+    pieces = source.mapInArrow(_cut(tokenizer or tokenizer_path(), capacity, False, ("range", "place")), schema).drop("task", "number")
+    out = "doc_id long, piece int, start long, length long, ids_crc32 long, place long, sequence_id long, offset long"
+    return pieces.groupBy("range").applyInArrow(_pack_range(capacity), out)
+
+
 def sequences(packed: DataFrame) -> DataFrame:
     """The packed sequences themselves, from ``pack(..., with_ids=True)``: sequence_id, n_tokens, ids."""
     parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))

@@ -13,7 +13,7 @@ def docs(spark, rows, extra: str = ""):
 
 
 #: Clashing names that operators use inside.
-CLASHING = "digest kept size label a b rid sign task number piece bucket line lid key"
+CLASHING = "digest kept size label a b rid sign task number piece bucket line lid key score copies taken turn positions position place range group text_key low high"
 
 ODD = [
     (5, None), (1, ""), (2, "same text here"), (2, "same text here"), (None, "no id here"), (3, "  \n\t "), (4, "word " * 3000),

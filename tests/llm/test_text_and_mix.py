@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -90,6 +91,26 @@ def test_decoding():
     assert toxicity.restored("house", chars) is None and toxicity.restored("12345", chars) is None
 
 
+def test_decoding_against_all_readings():
+    """Every reading of a token, one option for each sign, scored by itself."""
+    words = {w: 5 for w in "idiot stupid trash moron loser the and house garden".split()}
+    chars, rng = toxicity.CharModel.fit(toxicity.Counter(words)), random.Random(12)
+    for _ in range(150):
+        token = "".join(rng.choice("0134578$!*|.-aiostt") for _ in range(rng.randint(1, 6)))
+        choices, before, run = [], "", 0
+        for sign in token:
+            run = run + 1 if sign == before else 1
+            before = sign
+            choices.append(toxicity.options_of(sign, run))
+        best = defaultdict(lambda: -1e9)
+        for path in itertools.product(*choices):
+            text = "".join(c for c, _ in path)
+            s = "^^" + text + "$"
+            value = sum(cost for _, cost in path) + sum(chars.logp(*s[i - 2 : i + 1]) for i in range(2, len(s)))
+            best[text] = max(best[text], value)
+        assert best[toxicity.decode(token, chars)] >= max(best.values()) - 1e-9, token
+
+
 def test_held_out_scores(spark, small):
     at = small.replace("sf0.001", "sf0.01")
     df, labels = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet")
@@ -210,9 +231,83 @@ def test_mixed_documents(spark):
     assert mixing.mixed(twice).count() == sum(r["copies"] for r in mixing.curriculum(twice).collect())
 
 
+def test_mixed_rows_of_two_sources(spark):
+    rows = [(i, "one two three four", s) for i in range(20) for s in ("p", "q")] + [(i, "a b c", "q") for i in range(20, 60)]
+    for some in (rows, rows + rows[:7]):
+        df = docs(spark, some, CLASHING)
+        planned, taken = defaultdict(int), defaultdict(int)
+        for r in mixing.curriculum(df).collect():
+            planned[r["doc_id"], r["source"]] += r["taken"]
+        for r in mixing.mixed(df).collect():
+            taken[r["doc_id"], r["source"]] += len(r["text"].split())
+        assert dict(taken) == {k: n for k, n in planned.items() if n}
+
+
 # --- pipeline ---
 
 
+def test_stages_of_odd_rows(spark, small):
+    rows = [*ODD, *((100 + i, f"word{i} a b c d e f g", f"s{i % 3}" if i % 5 else None) for i in range(30)), (None, None), (100, "word0 a b c d e f g")]
+    for some in (rows, []):
+        df = docs(spark, some, CLASHING)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, df, small)
+            assert out.columns == df.columns, name
+            got = out.collect()
+            assert (not some) == (not got), name
+            if name == "toxicity":
+                assert len(got) == len(some)
+            if name == "exact_dedup":
+                want = {re.sub(r"[\x20\x09-\x0D]", "", t or "") for _, t, *_ in some}
+                assert sorted(re.sub(r"[\x20\x09-\x0D]", "", r["text"] or "") for r in got) == sorted(want)
+        packed = corpus_pipeline.STAGES[-1][1](spark, df, small)
+        assert sum(r["piece"] == 0 for r in packed.collect()) == len(some)
+
+
+def test_near_copies_under_one_id(spark, small):
+    base = [f"w{i}" for i in range(100)]
+    text, near, other = " ".join(base), " ".join(base[:-1] + ["x"]), "something else that shares no words with it"
+    out = lambda rows: of(corpus_pipeline.drop_near_copies(spark, docs(spark, rows), small), "doc_id", "text")
+    assert out([(3, text), (5, near), (5, other)]) == [(3, text), (5, other)]
+    assert len(out([(4, text), (4, near), (None, text + " y"), (None, near)])) == 1
+    assert len(out([(None, text), (None, near), (None, other)])) == 2
+    assert out([(1, text), (1, text), (2, ""), (3, None), (4, " ")]) == sorted([(1, text), (2, ""), (3, None), (4, " ")], key=str)
+
+
+def test_sequences_follow_the_curriculum(spark, tmp_path):
+    from tessella.llm import packing
+
+    rows = [(i, f"word{i} " * (5 + i * 37 % 400), f"s{i % 3}") for i in range(300)]
+    plan = mixing.curriculum(docs(spark, rows))
+    mixed = mixing.mixed(docs(spark, rows))
+    mixed.write.parquet(str(tmp_path / "mixed"))
+    read = spark.read.parquet(str(tmp_path / "mixed"))
+    got = packing.pack_in_order(read).collect()
+    heads = [r for r in got if r["piece"] == 0]
+    assert len(heads) == read.count() == len({r["place"] for r in heads})
+    # documents by place are documents by training position
+    at = sorted((p, r["doc_id"], k) for r in plan.collect() for k, p in enumerate((r["position"], r["second_position"])) if p is not None)
+    assert [r["doc_id"] for r in sorted(heads, key=lambda r: r["place"])] == [i for _, i, _ in at]
+    # ranges of places don't overlap, and their sequences come in the same order
+    spans = defaultdict(list)
+    for r in got:
+        spans[r["sequence_id"] >> 27].append(r["place"])
+    ends = [(min(v), max(v)) for _, v in sorted(spans.items())]
+    assert len(ends) > 1 and all(x[1] < y[0] for x, y in zip(ends, ends[1:], strict=False))
+    cells = defaultdict(list)
+    for r in got:
+        cells[r["sequence_id"]].append((r["offset"], r["length"]))
+    for c in cells.values():
+        assert all(x + n == y for (x, n), (y, _) in zip(sorted(c), [*sorted(c)[1:], (sum(n for _, n in c), 0)], strict=True)) and sum(n for _, n in c) <= 1024
+    monkey = packing.RANGE_ROWS
+    try:
+        packing.RANGE_ROWS = 16
+        few = packing.pack_in_order(read).collect()
+        assert len(few) == len(got) and len({r["sequence_id"] >> 27 for r in few}) > len(ends)
+    finally:
+        packing.RANGE_ROWS = monkey
+
+
 def test_pipeline_stages(spark, small):
     rows = spark.read.parquet(f"{small}/documents.parquet")
     df, names = rows, rows.columns
