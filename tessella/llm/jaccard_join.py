@@ -21,13 +21,17 @@ nothing from meeting.
 
 A set whose size lies just below the next band also signs for that band.
 
-Sets that are equal are one representative. Each member of a signature's group is
-compared with the group's first member, with whole sets; those met by one first
-member are its family. Links merge into components; members of a family that are
-then in different components are compared further, unless their distances to the
-first member tell them apart (Jaccard distance is a metric): the members outside
-the family's largest component so far, BLOCK at a turn, with those of other
-components. Components merge after each turn. Only links are ever made into rows.
+Sets that are equal are one representative. Each member of a signature's group
+meets the group's first member; those met by one first member are its family. Two
+sets that meet are compared by sketches first, counts of their elements in a number
+of cells about a quarter of the set's size: the sum of the counts' differences is at
+most the number of differing elements, so that it rules out pairs without loss. Whole
+sets, from the texts, are compared for the rest. Links merge into components; members
+of a family that are then in different components meet as well, unless their
+distances to the first member tell them apart (Jaccard distance is a metric): the
+members outside the family's largest component so far, BLOCK at a turn, with those of
+other components. Components merge after each turn. Only links, and what the sketches
+leave, are ever made into rows.
 
 Texts are read twice, for the ids of their sets and for signatures, so that these
 go into the one shuffle that needs them and no table holds them.
@@ -46,6 +50,7 @@ other columns are ignored.
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from functools import lru_cache
 from hashlib import blake2b
 from itertools import combinations
@@ -67,7 +72,7 @@ _GOLD = 0x9E3779B97F4A7C15
 _RATIO = 1.384  # largest over smallest size of a band
 #: Differing elements up to which there is one group; (partitions in a group, those that may differ) beyond.
 FEW, LEVELS = 4, ((3, 1), (1, 0))
-MOST_SIGNS = 0.55
+MOST_SIGNS = 0.45
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -194,6 +199,29 @@ def set_ids(elements: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(said[:8], "little", signed=True), int.from_bytes(said[8:], "little", signed=True)
 
 
+def sketch(elements: np.ndarray) -> bytes:
+    """Counts of a set's elements in cells, a power of two of them; empty where a count needs more than a byte."""
+    bits = max(6, (len(elements) // 4).bit_length())
+    counts = np.bincount((mix(elements * np.uint64(_GOLD | 1)) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def _folded(cells: np.ndarray, n: int) -> np.ndarray:
+    """Rows of counts, in the n cells that hold theirs."""
+    return cells.reshape(len(cells), n, -1).sum(axis=2, dtype=np.int32) if cells.shape[1] > n else cells.astype(np.int32)
+
+
+def may_link(size: int, cells: bytes, sizes: np.ndarray, others: np.ndarray, percent: int) -> np.ndarray:
+    """Which of other sets (sizes, rows of cells all of one number) a set may be similar to."""
+    able = 100 * np.minimum(sizes, size) >= percent * np.maximum(sizes, size)
+    if cells and others.shape[1] and able.any():
+        n = min(len(cells), others.shape[1])
+        own = _folded(np.frombuffer(cells, np.uint8).reshape(1, -1), n)
+        apart = np.abs(_folded(others[able], n) - own).sum(axis=1)
+        able[able] = (100 + percent) * apart <= (100 - percent) * (sizes[able] + size)
+    return able
+
+
 def _rid(elements: np.ndarray, clashes: set) -> int:
     """A set's id: its first 64 bits, or the others where these are another set's too."""
     x, y = set_ids(elements)
@@ -207,7 +235,8 @@ def _sized(words: int):
             ids = [set_ids(s) if len(s) else (None, None) for s in sets]
             low, high = zip(*ids, strict=True) if ids else ((), ())
             cols = [pa.array(list(map(len, sets)), pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64())]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), *cols], names=["doc_id", "text_key", "n_shingles", "low", "high"])
+            cols.append(pa.array([sketch(s) if len(s) else None for s in sets], pa.binary()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), *cols], names=["doc_id", "text_key", "n_shingles", "low", "high", "cells"])
 
     return run
 
@@ -242,6 +271,27 @@ def _stars(batches):
         yield pa.RecordBatch.from_arrays([pa.array(centers[keep]), pa.array(r[keep])], names=["a", "b"])
 
 
+def _sifted(percent: int):
+    """For each pair (a, b, with sizes and cells): whether the sketches leave it."""
+
+    def run(batches):
+        for batch in batches:
+            cols = (batch.column(c).to_pylist() for c in ("a_size", "a_cells", "b_size", "b_cells"))
+            able = [
+                bool(may_link(m, x, np.array([n]), np.frombuffer(y, np.uint8).reshape(1, -1), percent)[0]) for m, x, n, y in zip(*cols, strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(able, pa.bool_())], names=["a", "b", "able"])
+
+    return run
+
+
+def _sift(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """(a, b, able) of each pair."""
+    for c in "ab":
+        pairs = pairs.join(sketches.select(F.col("rid").alias(c), F.col("size").alias(f"{c}_size"), F.col("cells").alias(f"{c}_cells")), c)
+    return pairs.mapInArrow(_sifted(percent), "a long, b long, able boolean")
+
+
 def _compared(words: int, percent: int):
     """From rows sorted by (a, salt, is_member): the first member's text, then the others'."""
 
@@ -292,6 +342,12 @@ def _texts_of(docs: DataFrame, reps: DataFrame, wanted: DataFrame, words: int, c
     return written(met.dropDuplicates(["rid"]), "texts")
 
 
+def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, words: int, percent: int, clashes: set) -> DataFrame:
+    """(a, b, linked, distance) of each pair, from the texts."""
+    wanted = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()
+    return _compare(pairs, _texts_of(docs, reps, wanted, words, clashes), words, percent)
+
+
 def _pairs(docs: DataFrame, sets: DataFrame, reps: DataFrame, words: int, percent: int, clashes: set) -> DataFrame:
     """(a, b): each representative with the first one of each of its signatures."""
     skip = sets.join(reps.withColumnRenamed("doc_id", "_rep"), "rid").filter(~F.col("doc_id").eqNullSafe(F.col("_rep")))
@@ -315,7 +371,7 @@ def clusters(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
     component; null for an empty set), component_id."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text", text_key(F.col("text")).alias("text_key"))
-    sets = written(docs.mapInArrow(_sized(words), "doc_id long, text_key long, n_shingles long, low long, high long"), "sets")
+    sets = written(docs.mapInArrow(_sized(words), "doc_id long, text_key long, n_shingles long, low long, high long, cells binary"), "sets")
     docs = docs.select("doc_id", "text")
     met = sets.filter("low is not null").groupBy("low").agg(F.min("high").alias("x"), F.max("high").alias("y")).filter("x <> y")
     # of n sets, about n * n / 2^65: some hundreds of 10^11
@@ -324,25 +380,29 @@ def clusters(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
     if clashes:
         rid = F.when(F.col("low").isin(*clashes), F.col("high")).otherwise(rid)
     sets = sets.withColumn("rid", rid).drop("low", "high")
-    by_row = sets.filter("rid is not null").groupBy("rid", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n")).alias("first")
+    by_row = sets.filter("rid is not null").groupBy("rid", "doc_id").agg(
+        F.count(F.lit(1)).alias("n"), F.first("n_shingles").alias("size"), F.first("cells").alias("cells")
+    )
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n", "size", "cells")).alias("first")
     # written, so that the join with the rows of a set that many have can be split
-    reps = written(by_row.groupBy("rid").agg(first).select("rid", F.col("first.doc_id").alias("doc_id"), F.col("first.n").alias("n_own")), "reps")
-    pairs = written(_pairs(docs, sets, reps, words, percent, clashes), "pairs")
-    texts = _texts_of(docs, reps, pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct(), words, clashes)
-    met = written(_compare(pairs, texts, words, percent), "compared")
+    one = by_row.groupBy("rid").agg(first).select("rid", "first.*").drop("none").withColumnRenamed("n", "n_own")
+    reps = written(one, "reps")
+    sets = sets.drop("cells")
+    pairs = written(_sift(written(_pairs(docs, sets, reps.select("rid", "doc_id", "n_own"), words, percent, clashes), "pairs"), reps, percent), "sifted")
+    met = written(_verified(docs, reps, pairs.filter("able").select("a", "b"), words, percent, clashes), "compared")
     labels = written(components(met.filter("linked").select("a", "b")), "labels")
-    state = met.select("a", "b", "distance")
+    state = met.select("a", "b", "distance").union(pairs.filter("not able").select("a", "b", F.lit(None).cast("double").alias("distance")))
     for turn in range(1 << 20):
         state = written(_apart(state, labels, turn), "apart")
         if not state.head(1):
             break
-        found = written(_compare_blocks(state, texts, words, percent), "found")
+        found = written(_compare_blocks(state, reps, percent), "found")
         if found.head(1):
+            found = written(_verified(docs, reps, found, words, percent, clashes).filter("linked").select("a", "b"), "linked")
             known = labels.filter("id <> label").select(F.col("label").alias("a"), F.col("id").alias("b"))
             labels = written(components(known.union(found)), "labels")
         state = state.filter((F.col("minors") > BLOCK) & ~F.col("chosen")).select("a", "b", "distance")
-    named = reps.join(labels.withColumnRenamed("id", "rid"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
+    named = reps.select("rid", "doc_id").join(labels.withColumnRenamed("id", "rid"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     found = named.join(least, "label").select("rid", "label", "component_id")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
@@ -382,10 +442,10 @@ def _apart(state: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
     return met.select("a", "b", "distance", "label", "minors", "size", ((F.col("label") != F.col("major")) & lot).alias("chosen"))
 
 
-def _compare_blocks(state: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b): the links between chosen members of a family and its members of
-    another label. A family's members are dealt to slices; the chosen go to each
-    slice, where an inverted index of their elements is met by one member after the other."""
+def _compare_blocks(state: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """(a, b): what the sketches leave of the pairs of chosen members of a family and
+    its members of another label. A family's members are dealt to slices; the chosen
+    go to each slice, where one member after the other meets them all."""
     near = 1 - percent / 100 + 1e-9
     slices = F.ceil(F.col("size") / SLICE)
     every = state.filter("chosen").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), slices - 1)))
@@ -393,50 +453,49 @@ def _compare_blocks(state: DataFrame, texts: DataFrame, words: int, percent: int
     rows = every.select("a", "slice", F.lit(0).alias("kind"), "b", "label", "distance").union(
         each.select("a", "slice", F.lit(1).alias("kind"), "b", "label", "distance")
     )
-    rows = rows.join(texts.withColumnRenamed("rid", "b"), "b")
+    rows = rows.join(sketches.select(F.col("rid").alias("b"), F.col("size").alias("n"), "cells"), "b")
     dealt = rows.repartition("a", "slice").sortWithinPartitions("a", "slice", "kind")
 
     def run(batches):
-        at, held, index = None, [], None
+        at, held, block = None, [], None
         for batch in batches:
             out = []
-            cols = (batch.column(c).to_pylist() for c in ("a", "slice", "kind", "b", "label", "distance", "text"))
-            for a, piece, kind, b, label, distance, text in zip(*cols, strict=True):
-                elements = shingles(text, words)
+            cols = (batch.column(c).to_pylist() for c in ("a", "slice", "kind", "b", "label", "distance", "n", "cells"))
+            for a, piece, kind, *member in zip(*cols, strict=True):
                 if (a, piece) != at:
-                    at, held, index = (a, piece), [], None
+                    at, held, block = (a, piece), [], None
                 if kind == 0:
-                    held.append((b, label, distance, elements))
+                    held.append(member)
                     continue
-                if index is None:
-                    index = _BlockIndex(held)
-                out += [(min(b, c), max(b, c)) for c in index.links(b, label, distance, elements, near, percent)]
+                if block is None:
+                    block = _blocks(held)
+                b = member[0]
+                out += [(min(b, c), max(b, c)) for part in block for c in part.left(*member, near, percent)]
             x, y = zip(*out, strict=True) if out else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-class _BlockIndex:
-    """Sets of up to some hundred members, to be met by one set at a time."""
-
-    def __init__(self, held: list[tuple]):
-        self.ids = np.array([h[0] for h in held], np.int64)
-        self.labels = np.array([h[1] for h in held], np.int64)
-        self.distances = np.array([h[2] for h in held], np.float64)
-        self.sizes = np.array([len(h[3]) for h in held], np.int64)
-        elements = np.concatenate([h[3] for h in held]) if held else np.zeros(0, np.uint64)
-        owners = np.repeat(np.arange(len(held)), self.sizes)
-        order = np.argsort(elements, kind="stable")
-        self.elements, self.owners = elements[order], owners[order]
-
-    def links(self, b, label, distance, elements, near, percent) -> list[int]:
-        able = (self.labels != label) & (np.abs(self.distances - distance) <= near) & (self.ids != b)
-        if not able.any():
-            return []
-        low, high = (np.searchsorted(self.elements, elements, side) for side in ("left", "right"))
-        n = high - low
-        places = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        both = np.bincount(self.owners[places], minlength=len(self.ids))
-        able &= 100 * both >= percent * (self.sizes + len(elements) - both)
-        return self.ids[able].tolist()
+class _Block:
+    """Members whose sketches have as many cells, to be met by one member at a time."""
+
+    def __init__(self, held: list):
+        ids, labels, distances, sizes, cells = zip(*held, strict=True)
+        self.ids, self.labels, self.sizes = (np.array(x, np.int64) for x in (ids, labels, sizes))
+        self.distances = np.array([np.nan if d is None else d for d in distances])
+        self.cells = np.frombuffer(b"".join(cells), np.uint8).reshape(len(held), -1)
+
+    def left(self, b, label, distance, size, cells, near, percent) -> list[int]:
+        able = (self.labels != label) & (self.ids != b)
+        if distance is not None:
+            able &= ~(np.abs(self.distances - distance) > near)  # an unknown distance tells nothing
+        at = np.flatnonzero(able)
+        return self.ids[at[may_link(size, cells, self.sizes[at], self.cells[at], percent)]].tolist() if len(at) else []
+
+
+def _blocks(held: list) -> list[_Block]:
+    by = defaultdict(list)
+    for member in held:
+        by[len(member[-1])].append(member)
+    return [_Block(v) for v in by.values()]

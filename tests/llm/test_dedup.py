@@ -158,6 +158,22 @@ def test_null_ids_link_and_ids_may_clash(spark, monkeypatch):
     assert of(jaccard_join.jaccard_join(docs(spark, rows)), *names) == plain_join(rows)
 
 
+def test_sketches_leave_what_is_similar():
+    rng = np.random.default_rng(8)
+    ruled_out = 0
+    for k in range(400):
+        n = int(rng.integers(1, 3000))
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        keep = a[rng.random(len(a)) < rng.choice([0, 0.5, 0.9, 0.97])]
+        b = np.unique(np.concatenate([keep, rng.integers(0, 1 << 63, max(1, int(n * rng.choice([0.01, 0.05, 0.1, 1]))), dtype=np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        cells = np.frombuffer(jaccard_join.sketch(b), np.uint8).reshape(1, -1)
+        left = jaccard_join.may_link(len(a), jaccard_join.sketch(a), np.array([len(b)]), cells, 80)[0]
+        assert left or 100 * both < 80 * (len(a) + len(b) - both)
+        ruled_out += not left
+    assert ruled_out > 100
+
+
 def test_signatures_meet():
     rng = np.random.default_rng(5)
     for _ in range(600):
