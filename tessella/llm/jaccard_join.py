@@ -23,8 +23,8 @@ A set whose size lies just below the next band also signs for that band.
 
 Sets that are equal are one representative. Each member of a signature's group
 meets the group's first member; those met by one first member are its family. Two
-sets that meet are compared by sketches first, counts of their elements in a number
-of cells about a quarter of the set's size: the sum of the counts' differences is at
+sets that meet are compared by sketches first, counts of their elements in 256 cells
+or, for large sets, about a quarter of the set's size: the sum of the counts' differences is at
 most the number of differing elements, so that it rules out pairs without loss. Whole
 sets, from the texts, are compared for the rest. Links merge into components; members
 of a family that are then in different components meet as well, unless their
@@ -65,7 +65,7 @@ from .graph import components
 
 WORDS, PERCENT = 4, 85
 #: Members of a family that are compared with its others in one turn, and members in a slice of it.
-BLOCK, SLICE = 256, 1024
+BLOCK, SLICE = 2048, 4096
 #: Ids up to which a list of documents to read is broadcast (16 bytes each); beyond it, a shuffled join.
 BROADCAST_IDS = 1_000_000
 _GOLD = 0x9E3779B97F4A7C15
@@ -201,7 +201,7 @@ def set_ids(elements: np.ndarray) -> tuple[int, int]:
 
 def sketch(elements: np.ndarray) -> bytes:
     """Counts of a set's elements in cells, a power of two of them; empty where a count needs more than a byte."""
-    bits = max(6, (len(elements) // 4).bit_length())
+    bits = max(8, (len(elements) // 4).bit_length())
     counts = np.bincount((mix(elements * np.uint64(_GOLD | 1)) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
     return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
 
