@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 #: RFC 3548 alphabet and the digits of base 32 that Spark's conv() writes.
 _DIGITS, _ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-#: Stands for an escaped backslash while the other escapes are undone.
-_HELD = "\ue000"
 
 
 def base32_hex(hex_text: Column, digits: int = 40) -> Column:
@@ -46,10 +44,13 @@ def escape(text: Column) -> Column:
 
 def unescape(text: Column) -> Column:
     """The inverse of ``escape``. An unknown escape stands for its character; a lone last backslash stays."""
-    text = F.replace(text, F.lit("\\\\"), F.lit(_HELD))
-    for raw, written in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
-        text = F.replace(text, F.lit(written), F.lit(raw))
-    return F.replace(F.regexp_replace(text, r"(?s)\\(.)", "$1"), F.lit(_HELD), F.lit("\\"))
+
+    def plain(part: Column) -> Column:  # without escaped backslashes, which the parts stood between
+        for raw, written in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+            part = F.replace(part, F.lit(written), F.lit(raw))
+        return F.regexp_replace(part, r"(?s)\\(.)", "$1")
+
+    return F.array_join(F.transform(F.split(text, r"\\\\"), plain), "\\")
 
 
 def html_escape(text: Column) -> Column:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_ENTRY = r"(?s)<DirectoryEntry>(.*?)</DirectoryEntry>"
-# greedy beginnings: the last name and the last type of an entry count
-_NAME = r"(?s)^.*<name>([^<]*)</name>"
-_TARGET = r'(?s)^.*<(?:Blob|Directory) rdf:about="([^"]*)"'
-_CLASS = r'(?s)^.*<(\w+) rdf:about="'
+_OPEN, _CLOSE, _ABOUT = "<DirectoryEntry>", "</DirectoryEntry>", ' rdf:about="'
+
+
+def _last_name(entry: Column) -> Column:
+    """What stands between the last name tags; empty without any."""
+    return F.when(entry.contains("<name>"), F.substring_index(F.substring_index(entry, "<name>", -1), "</name>", 1)).otherwise("")
 
 
 def parse(listings: DataFrame, strict: bool = False) -> DataFrame:
@@ -18,13 +19,17 @@ def parse(listings: DataFrame, strict: bool = False) -> DataFrame:
     An entry of a class other than Blob and Directory has a null target_uri, or
     raises an error if ``strict``.
     """
-    entries = listings.select("dir_uri", F.posexplode(F.regexp_extract_all("rdf", F.lit(_ENTRY), 1)).alias("pos", "entry"))
-    kind = F.regexp_extract("entry", _CLASS, 1)
-    target = F.regexp_extract("entry", _TARGET, 1)
+    pieces = F.split("rdf", _OPEN)
+    closed = F.filter(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), lambda x: x.contains(_CLOSE))
+    entries = listings.select("dir_uri", F.posexplode(closed).alias("pos", "piece")).select("dir_uri", "pos", F.substring_index("piece", _CLOSE, 1).alias("entry"))
+    # the last name and the last target of an entry count
+    parts = F.split("entry", _ABOUT)
+    kind = F.when(F.size(parts) > 1, F.substring_index(F.element_at(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(1))), -1), "<", -1)).otherwise("")
+    target = F.substring_index(F.element_at(parts, -1), '"', 1)
     known = kind.isin("Blob", "Directory")
     unknown = F.raise_error(F.concat(F.lit("unknown class of entry: "), kind)).cast("string") if strict else F.lit(None).cast("string")
     return entries.select(
-        "dir_uri", "pos", F.regexp_extract("entry", _NAME, 1).alias("name"), F.when(known, target).otherwise(unknown).alias("target_uri"), kind.alias("target_class")
+        "dir_uri", "pos", _last_name(F.col("entry")).alias("name"), F.when(known, target).otherwise(unknown).alias("target_uri"), kind.alias("target_class")
     )
 
 

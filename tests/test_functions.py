@@ -88,3 +88,11 @@ def test_bucket_hashes(spark):
             h, g, a = wrapped(31 * h + s), wrapped(g * a + s), wrapped(a * 378551)
         assert r["p"] == h & 0x7FFF
         assert r["r"] == (g & 0x7FFFFFFF) % 65536
+
+
+def test_unescape_of_a_private_character(spark):
+    from tessella.functions.text import escape, unescape
+
+    texts = ["\ue000 a\\b\ue000", "\\\\n", "tab\t'q'\\", "", "\\"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(unescape(escape("t")).alias("t")).collect()
+    assert [r["t"] for r in rows] == texts
