@@ -8,10 +8,12 @@ task, directories are independent.
 
 from __future__ import annotations
 
+import math
+import sys
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,20 +58,28 @@ def line_candidates(images: DataFrame) -> DataFrame:
     )
 
 
+def _line_fitness(over=lambda c: c) -> Column:
+    """How near 1.2 the shape is, and how even the areas are; ``over`` says over which rows."""
+    shape = over(F.max(F.col("x") + F.col("cw"))) / over(F.max(F.col("y") + F.col("ch")))
+    area = over(F.max(F.col("cw") * F.col("ch"))) / over(F.min(F.col("cw") * F.col("ch")))
+    away = F.greatest(1.2 / shape, shape / 1.2)
+    return -2 * away * away - area * area
+
+
 def line_fitness(cells: DataFrame) -> DataFrame:
-    """dir, cand, fitness: how near 1.2 the shape is, and how even the areas are."""
-    shape = F.max(F.col("x") + F.col("cw")) / F.max(F.col("y") + F.col("ch"))
-    area = F.max(F.col("cw") * F.col("ch")) / F.min(F.col("cw") * F.col("ch"))
-    sums = cells.groupBy("dir", "cand").agg(shape.alias("shape"), area.alias("even"))
-    away = F.greatest(1.2 / F.col("shape"), F.col("shape") / 1.2)
-    return sums.withColumn("fitness", -2 * away * away - F.col("even") * F.col("even"))
+    """dir, cand, fitness of each candidate."""
+    return cells.groupBy("dir", "cand").agg(_line_fitness().alias("fitness"))
 
 
 def lines_layout(images: DataFrame) -> DataFrame:
-    """Unscaled cells (dir, pos, x, y, w, h) of the fittest candidate; the earlier wins ties."""
-    cells = line_candidates(images)
-    best = line_fitness(cells).groupBy("dir").agg(F.max_by("cand", F.struct("fitness", -F.col("cand"))).alias("cand"))
-    return cells.join(best, ["dir", "cand"]).select("dir", "pos", "x", "y", F.col("cw").alias("w"), F.col("ch").alias("h"))
+    """Unscaled cells (dir, pos, x, y, w, h) of the fittest candidate; the earlier wins ties.
+
+    Candidates are rated and chosen by windows, so that they are worked out once."""
+    one = Window.partitionBy("dir", "cand")
+    rated = line_candidates(images).withColumn("_fitness", _line_fitness(lambda c: c.over(one)))
+    best = F.max_by("cand", F.struct("_fitness", -F.col("cand"))).over(Window.partitionBy("dir"))
+    chosen = rated.withColumn("_best", best).filter("cand = _best")
+    return chosen.select("dir", "pos", "x", "y", F.col("cw").alias("w"), F.col("ch").alias("h"))
 
 
 def squished(cells: DataFrame, width: int = 1280, height: int = 800) -> DataFrame:
@@ -120,38 +130,52 @@ def _ratio(x: float, y: float) -> float:
     return _F(x) / _F(y) if x > y else _F(y) / _F(x)
 
 
-def split_point(weights: np.ndarray, a: int, b: int) -> int:
-    """Where a run of images is cut: between the middle by count (a) and by weight (b), never at an end."""
-    n, after = len(weights), np.cumsum(weights, dtype=_F)
+def _middle(weights: np.ndarray) -> int:
+    """The image that half of a run's weight lies before."""
+    after = np.cumsum(weights, dtype=_F)
     half, before = after[-1] / _F(2), np.concatenate([[_F(0)], after[:-1]])
     beyond = half - before < after - half
-    middle = int(beyond.argmax()) if beyond.any() else n - 1
-    at = int(np.floor(_F(a * _F(n / 2) + b * middle) / _F(a + b) + _F(0.5)))
+    return int(beyond.argmax()) if beyond.any() else len(weights) - 1
+
+
+def _cut(n: int, middle: int, a: int, b: int) -> int:
+    at = math.floor(_F(a * _F(n / 2) + b * middle) / _F(a + b) + _F(0.5))
     return min(max(at, 1), n - 1)
 
 
-def split_tree(weights: np.ndarray, low: int, high: int, a: int, b: int):
-    """A tree of places: a leaf is a number, a node a tuple of two trees."""
+def split_point(weights: np.ndarray, a: int, b: int) -> int:
+    """Where a run of images is cut: between the middle by count (a) and by weight (b), never at an end."""
+    return _cut(len(weights), _middle(weights), a, b)
+
+
+def split_tree(weights: np.ndarray, low: int, high: int, a: int, b: int, nodes: dict, middles: dict):
+    """A tree of places: a leaf is a number, a node a tuple of two trees. Equal trees are
+    one object, kept in ``nodes``; ``middles`` holds the middles of runs under these weights."""
     if high - low == 1:
         return low
-    if high - low == 2:
-        return (low, low + 1)
-    at = low + split_point(weights[low:high], a, b)
-    return (split_tree(weights, low, at, a, b), split_tree(weights, at, high, a, b))
+    at = low + 1
+    if high - low > 2:
+        if (low, high) not in middles:
+            middles[low, high] = _middle(weights[low:high])
+        at = low + _cut(high - low, middles[low, high], a, b)
+    parts = (split_tree(weights, low, at, a, b, nodes, middles), split_tree(weights, at, high, a, b, nodes, middles))
+    return nodes.setdefault((low, at, high, *map(id, (p for p in parts if isinstance(p, tuple)))), parts)
 
 
-def tree_fitness(tree, nbytes) -> tuple[float, float, int]:
-    """(fitness, weight, depth): even splits and shallow trees are fitter."""
+def tree_fitness(tree, nbytes, known: dict) -> tuple[float, float, int]:
+    """(fitness, weight, depth): even splits and shallow trees are fitter. ``known`` holds what was found for a tree, by its id."""
     if not isinstance(tree, tuple):
         return _F(0), _F(nbytes[tree]), 0
-    parts = [tree_fitness(t, nbytes) for t in tree]
-    weight, n = _F(sum((p[1] for p in parts), _F(0))), _F(len(parts))
-    fit = _F(0)
-    for f, w, _ in parts:
-        fit = fit - _F(_ratio(weight / n, w)) / n
-        fit = fit + f / n
-    depth = 1 + max(p[2] for p in parts)
-    return fit / _F(2) - _F(depth), weight, depth
+    if id(tree) not in known:
+        parts = [tree_fitness(t, nbytes, known) for t in tree]
+        weight, n = _F(sum((p[1] for p in parts), _F(0))), _F(len(parts))
+        fit = _F(0)
+        for f, w, _ in parts:
+            fit = fit - _F(_ratio(weight / n, w)) / n
+            fit = fit + f / n
+        depth = 1 + max(p[2] for p in parts)
+        known[id(tree)] = fit / _F(2) - _F(depth), weight, depth
+    return known[id(tree)]
 
 
 def _arranged(tree, w, h):
@@ -187,14 +211,16 @@ def _cells(node, x, y, w, h, out) -> None:
 def bisect(w: np.ndarray, h: np.ndarray, nbytes: np.ndarray) -> list[tuple]:
     """Cells of one directory's images, in order. Weights that no split can balance
     (all zero, or one that dwarfs the rest) are cut next to an end."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 4 * len(w) + 1000))  # a tree can be as deep as it has leaves
     best, best_fit = None, None
-    weights, seen = {k: _weights(nbytes, k) for k in ("root", "plain", "square")}, set()
+    weights, middles = {k: _weights(nbytes, k) for k in ("root", "plain", "square")}, {"root": {}, "plain": {}, "square": {}}
+    nodes, known, seen = {}, {}, set()
     for kind, a, b in SPLITTERS:
-        tree = split_tree(weights[kind], 0, len(w), a, b)
-        if tree in seen:
+        tree = split_tree(weights[kind], 0, len(w), a, b, nodes, middles[kind])
+        if id(tree) in seen:
             continue
-        seen.add(tree)
-        fit = tree_fitness(tree, nbytes)[0]
+        seen.add(id(tree))
+        fit = tree_fitness(tree, nbytes, known)[0]
         if best is None or fit > best_fit:
             best, best_fit = tree, fit
     node = _arranged(best, w, h)
@@ -203,13 +229,11 @@ def bisect(w: np.ndarray, h: np.ndarray, nbytes: np.ndarray) -> list[tuple]:
     return out
 
 
-def _bisected(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("pos")
-    cells = bisect(pdf["w"].to_numpy(), pdf["h"].to_numpy(), pdf["bytes"].to_numpy())
-    out = pd.DataFrame(cells, columns=list("xywh"), dtype="float64")
-    out.insert(0, "pos", pdf["pos"].to_numpy())
-    out.insert(0, "dir", pdf["dir"].to_numpy())
-    return out
+def _bisected(rows: pa.Table) -> pa.Table:
+    rows = rows.sort_by("pos")
+    cells = bisect(*(rows.column(c).to_numpy() for c in ("w", "h", "bytes")))
+    sides = [pa.array(np.array(side, np.float64)) for side in zip(*cells, strict=True)]
+    return pa.table([rows.column("dir"), rows.column("pos"), *sides], names=["dir", "pos", "x", "y", "w", "h"])
 
 
 def bisection_layout(images: DataFrame) -> DataFrame:
@@ -220,19 +244,19 @@ def bisection_layout(images: DataFrame) -> DataFrame:
     # Twice the session's number: a shuffle to that number itself would be taken for
     # one that the images may have behind them, and dropped.
     rows = rows.repartition(2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "dir")
-    return rows.groupBy("dir").applyInPandas(_bisected, f"dir {kind}, pos int, x double, y double, w double, h double")
+    return rows.groupBy("dir").applyInArrow(_bisected, f"dir {kind}, pos int, x double, y double, w double, h double")
 
 
-def overall_fitness(cells: DataFrame, by: list[str]) -> DataFrame:
-    """Fitness of whole-pixel cells: large differences of area, tiny cells and long shapes count against it."""
-    area = F.col("w") * F.col("h")
-    s = cells.groupBy(*by).agg(
-        F.max(area).alias("_big"), F.min(area).alias("_small"), F.min(F.least("w", "h")).alias("_least"),
-        (F.max(F.col("x") + F.col("w")) - F.min("x")).alias("_w"), (F.max(F.col("y") + F.col("h")) - F.min("y")).alias("_h"),
-    )
-    long = ratio(F.col("_w"), F.col("_h"))
-    fit = -F.when(F.col("_big") / F.col("_small") > 12, 1.0).otherwise(0.0) - F.when(F.col("_least") < 16, 2.0).otherwise(0.0) - long
-    return s.select(*by, (fit - F.when(long > 2, 1.0).otherwise(0.0)).alias("fitness"))
+def overall_fitness(by: list[str]) -> Column:
+    """Fitness of the whole-pixel cells that agree on ``by``, in each of them: large
+    differences of area, tiny cells and long shapes count against it."""
+    one, area = Window.partitionBy(*by), F.col("w") * F.col("h")
+    big, small, least = F.max(area).over(one), F.min(area).over(one), F.min(F.least("w", "h")).over(one)
+    width = F.max(F.col("x") + F.col("w")).over(one) - F.min("x").over(one)
+    height = F.max(F.col("y") + F.col("h")).over(one) - F.min("y").over(one)
+    long = ratio(width, height)
+    fit = -F.when(big / small > 12, 1.0).otherwise(0.0) - F.when(least < 16, 2.0).otherwise(0.0) - long
+    return fit - F.when(long > 2, 1.0).otherwise(0.0)
 
 
 @lru_cache(1)
@@ -260,7 +284,8 @@ def layout(images: DataFrame, spec: str = "multifit:1280x800") -> DataFrame:
         cells = squished(layouters()[name](images), width, height).withColumn("layouter", F.lit(name)).withColumn("_rank", F.lit(rank))
         tried = cells if tried is None else tried.unionByName(cells)
     if len(names) > 1:
-        fit = overall_fitness(tried, ["dir", "_rank"])
-        best = fit.groupBy("dir").agg(F.max_by("_rank", F.struct("fitness", -F.col("_rank"))).alias("_rank"))
-        tried = tried.join(best, ["dir", "_rank"])
+        # rated and chosen by windows, so that each layout is worked out once
+        tried = tried.withColumn("_fitness", overall_fitness(["dir", "_rank"]))
+        best = F.max_by("_rank", F.struct("_fitness", -F.col("_rank"))).over(Window.partitionBy("dir"))
+        tried = tried.withColumn("_best", best).filter("_rank = _best")
     return tried.select("dir", "layouter", "pos", "x", "y", "w", "h")
