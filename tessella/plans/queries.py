@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing, text
 from ..functions.tiger import bitprint
-from ..operators import compound, layout, render, store
+from ..operators import compound, layout, render, store, tree
 from ..sources import blobs, directories
 from .fixtures import b32_sql, compounds_sql, customer_images, images_sql, lines_sql, order_images, table, urn_sql
 
@@ -361,9 +361,8 @@ def resource_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.resource_log(table(spark, sf_dir, "pages").select("page_id", part.alias("components")), "page_id")
 
 
-@_query()
-def compose_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Region to line item as one tree of listings, laid out level by level."""
+def _tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Region to line item as one tree of listings, laid out level by level: entries, compound images, names of the images."""
     images = order_images(spark, sf_dir)
     uri = lambda kind, c: F.concat(F.lit(f"x-{kind}:"), F.col(c).cast("string"))
     leaf = images.select(uri("order", "dir").alias("dir_uri"), "pos", "name", F.col("uri").alias("target_uri"), F.lit("Blob").alias("target_class"))
@@ -376,7 +375,27 @@ def compose_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         entries = entries.unionByName(rows)
     info = images.select("uri", F.col("w").alias("width"), F.col("h").alias("height"), F.col("bytes").alias("size")).dropDuplicates(["uri"])
-    return compound.compose(entries, info, "rowly")[0]
+    done, texts = compound.compose(entries, info, "rowly")
+    return done, compound.parsed(texts), info.select("uri")
+
+
+@_query()
+def compose_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tree(spark, sf_dir)[0]
+
+
+@_query()
+def raster_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each picture of the tree is drawn, the components' pictures first."""
+    _, made, images = _tree(spark, sf_dir)
+    return tree.draw_plans(made, tree.rasters(made, images)[0], images)
+
+
+@_query()
+def page_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree's pages, each linked to those of its compound parts."""
+    _, made, images = _tree(spark, sf_dir)
+    return tree.pages(made, tree.rasters(made, images)[0])[0].select("uri", "page_uri", F.md5("html").alias("html_md5"), "level")
 
 
 # --- key-value log and memo ---

@@ -126,6 +126,15 @@ def test_cycle_is_refused(spark):
         compound.compose(entries, info)
 
 
+def test_unknown_image_is_refused(spark):
+    entries = spark.createDataFrame([("a", 0, "x.png", "u:x", "Blob"), ("a", 1, "y.png", "u:y", "Blob")], "dir_uri string, pos int, name string, target_uri string, target_class string")
+    info = spark.createDataFrame([("u:x", 5, 5, 1)], "uri string, width int, height int, size long")
+    with pytest.raises(ValueError):
+        compound.compose(entries, info)
+    done, texts = compound.compose(entries, info, strict=False)
+    assert [r["uri"] for r in done.collect()] == ["u:x"] and texts.count() == 0
+
+
 def test_store_is_idempotent(spark, tmp_path):
     path = str(tmp_path / "store")
     first = spark.createDataFrame([("a",), ("b",), ("a",)], "content string")
