@@ -245,49 +245,63 @@ def edit_fingerprints(docs: DataFrame) -> DataFrame:
     return with_next(docs).mapInArrow(_walk, _COLUMNS)
 
 
-def fingerprint_column(docs: DataFrame) -> DataFrame:
-    """doc_id and fingerprint (hexadecimal) of each document."""
+def text_classes(docs: DataFrame) -> DataFrame:
+    """key (128 bits of a text's SHA-256), doc_id (the smallest), text: one row for each
+    different text; a null text is empty, rows without a doc_id are left out."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.filter("doc_id is not null").select(_text_key(text).alias("key"), F.col("doc_id").cast("long"), text.alias("text"))
+    return rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"))
+
+
+def _text_key(text):
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
 
-    def run(batches):
-        for b in batches:
-            prints = fingerprints([t or "" for t in b.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x.tobytes().hex() for x in prints])], names=["doc_id", "fingerprint"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fingerprint string")
+def members(docs: DataFrame) -> DataFrame:
+    """doc_id and representative (the smallest doc_id with the same text) of each document
+    that has a doc_id: with the pairs of near_pairs, all pairs of documents."""
+    firsts = text_classes(docs).select("key", F.col("doc_id").alias("representative"))
+    key = _text_key(F.coalesce(F.col("text"), F.lit("")))
+    return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), key.alias("key")).join(firsts, "key").select("doc_id", "representative")
 
 
-def near_pairs(docs: DataFrame, similarity: float = 0.8, bands: int = 32, band_bits: int = 20) -> DataFrame:
-    """(a, b, similarity): documents whose fingerprints agree on a band of sampled
-    bits, every two of a band, verified by edit distance over the longer text. A
-    band's documents are dealt to slices, and each two slices meet by themselves.
-    A search by sampled bands: pairs near the threshold can be missed."""
+def near_pairs(docs: DataFrame, similarity: float = 0.8, bands: int = 128, band_bits: int = 16) -> DataFrame:
+    """(a, b, similarity): representatives (see members) of different texts whose
+    fingerprints agree on a band of sampled bits, every two of a band, verified by edit
+    distance over the longer text. Copies are one text and make no pairs of their own. A
+    band's texts are dealt to slices, and each two slices meet by themselves.
+
+    A search by sampled bands: pairs near the threshold can be missed, above all where
+    the edits are scattered over the text, as each spoils the samples around it. More
+    bands of fewer bits find more, at the cost of more pairs to verify."""
     rng = np.random.default_rng(7)
     samples = [sorted(rng.choice(BITS, band_bits, replace=False).tolist()) for _ in range(bands)]
 
     def keys(batches):
+        weights = 1 << np.arange(band_bits, dtype=np.int64)
         for b in batches:
-            bits = np.unpackbits(np.array([list(bytes.fromhex(x)) for x in b.column("fingerprint").to_pylist()], np.uint8).reshape(-1, BITS // 8), axis=1)
-            out = [pa.array(np.repeat(b.column("doc_id").to_numpy(zero_copy_only=False), bands))]
-            weights = 1 << np.arange(band_bits, dtype=np.int64)
+            bits = np.unpackbits(fingerprints(b.column("text").to_pylist()), axis=1)
             found = np.stack([(bits[:, s].astype(np.int64) * weights).sum(axis=1) + (k << band_bits) for k, s in enumerate(samples)], axis=1)
-            yield pa.RecordBatch.from_arrays([*out, pa.array(found.ravel(), pa.int64())], names=["doc_id", "band"])
+            own = b.column("key").take(pa.array(np.repeat(np.arange(b.num_rows), bands)))
+            yield pa.RecordBatch.from_arrays([own, pa.array(found.ravel(), pa.int64())], names=["key", "band"])
 
-    rows = written(fingerprint_column(docs.filter("doc_id is not null")).mapInArrow(keys, "doc_id long, band long").distinct(), "bands")
+    small_batches(docs.sparkSession)
+    texts = written(text_classes(docs), "texts")
+    rows = written(texts.select("key", "text").mapInArrow(keys, "key binary, band long"), "bands")
     hot = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SLICE)
     parts = rows.join(hot.select("band", F.ceil(F.col("n") / SLICE).alias("parts")), "band", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    dealt = parts.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
-    left = dealt.select("band", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("parts") - 1)).alias("j"), F.col("doc_id").alias("x"))
-    right = dealt.select("band", F.explode(F.sequence(F.lit(0).cast("long"), "own")).alias("i"), F.col("own").alias("j"), F.col("doc_id").alias("y"))
+    dealt = parts.withColumn("own", F.pmod(F.xxhash64("key"), F.col("parts")))
+    left = dealt.select("band", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("parts") - 1)).alias("j"), F.col("key").alias("x"))
+    right = dealt.select("band", F.explode(F.sequence(F.lit(0).cast("long"), "own")).alias("i"), F.col("own").alias("j"), F.col("key").alias("y"))
     met = left.join(right, ["band", "i", "j"]).filter("x < y or i < j and x <> y")
-    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = texts.select("doc_id", "text", F.length("text").alias("n"), letter_counts(F.col("text")).alias("letters"))
+    pairs = met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    texts = texts.select("key", "doc_id", "text", F.length("text").alias("n"), letter_counts(F.col("text")).alias("letters"))
     # only pairs that so many edits can't join are ruled out before verification
     first, second = (texts.select(*(F.col(c).alias(f"{k}_{c}") for c in texts.columns)) for k in "xy")
     longer = F.greatest("x_n", "y_n", F.lit(1))
     most = F.floor((1 - similarity) * longer).cast("int") + 1
     able = (F.abs(F.col("x_n") - F.col("y_n")) <= most) & (counts_apart(F.col("x_letters"), F.col("y_letters")) <= 2 * most)
-    near = pairs.join(first, F.col("a") == F.col("x_doc_id")).join(second, F.col("b") == F.col("y_doc_id")).filter(able)
-    near = near.select("a", "b", "x_text", "y_text", longer.alias("longer"), most.alias("most"))
+    near = pairs.join(first, F.col("x") == F.col("x_key")).join(second, F.col("y") == F.col("y_key")).filter(able)
+    near = near.select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b"), "x_text", "y_text", longer.alias("longer"), most.alias("most"))
     near = near.withColumn("distance", F.expr("levenshtein(x_text, y_text, most)")).filter("distance >= 0")  # -1 beyond most
     return near.withColumn("similarity", 1 - F.col("distance") / F.col("longer")).filter(F.col("similarity") >= similarity).select("a", "b", "similarity")

@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter, defaultdict
@@ -355,3 +356,40 @@ def test_near_pairs_of_shared_bands(spark, monkeypatch):
     for size in (1024, 3):
         monkeypatch.setattr(edit_fingerprint, "SLICE", size, raising=False)
         assert of(edit_fingerprint.near_pairs(docs(spark, rows), bands=32, band_bits=4), "a", "b") == sorted(want, key=str)
+
+
+def test_near_pairs_recall(spark):
+    """Against brute force over texts with a block replaced, up to the threshold; the
+    figures for scattered edits are in the README."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
+    base = [" ".join(word() for _ in range(rng.randint(50, 80))) for _ in range(30)]
+
+    def replaced(t, share):
+        n = int(len(t) * share)
+        at = rng.randrange(len(t) - n + 1)
+        return t[:at] + " ".join(word() for _ in range(n))[:n] + t[at + n :]
+
+    rows = list(enumerate(base)) + [(100 * (k + 1) + i, replaced(t, share)) for k, share in enumerate((0.05, 0.1, 0.18)) for i, t in enumerate(base)]
+    want = set()
+    for i in range(len(base)):  # texts of different bases share nothing but chance
+        group = [(d, t) for d, t in rows if d % 100 == i]
+        for (a, s), (b, t) in itertools.combinations(group, 2):
+            if 1 - edit(s, t) / max(len(s), len(t)) >= 0.8:
+                want.add((a, b))
+    found = set(of(edit_fingerprint.near_pairs(docs(spark, rows)), "a", "b"))
+    assert len(want) > 100 and found <= want and len(found) >= 0.9 * len(want)
+
+
+def test_near_pairs_of_copies(spark):
+    """Copies are one text: no pairs among them, and no link between different texts is lost."""
+    rng = random.Random(10)
+    text = " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(100))
+    rows = [(i, text) for i in range(40)] + [(i, text[:200] + "!" + text[201:]) for i in range(50, 90)] + [(7, "another text"), (None, text), *ODD]
+    df = docs(spark, rows, CLASHING)
+    assert of(edit_fingerprint.near_pairs(df), "a", "b") == [(0, 50)] + [p for p in of(edit_fingerprint.near_pairs(docs(spark, ODD)), "a", "b")]
+    got = edit_fingerprint.members(df)
+    assert got.count() == len([r for r in rows if r[0] is not None])
+    assert {r["representative"] for r in got.filter("doc_id between 11 and 39").collect()} == {0}
+    assert {r["representative"] for r in got.filter("doc_id >= 50").collect()} == {50}
+    assert edit_fingerprint.near_pairs(docs(spark, [])).count() == 0
