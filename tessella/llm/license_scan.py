@@ -1,4 +1,9 @@
-"""Licence notices in paragraphs (lines) of documents, on DataFrame functions.
+"""Licence notices in paragraphs of documents, on DataFrame functions.
+
+A paragraph is a line, and also a run of lines that are one wrapped text: a run ends
+where a line ends in a sentence mark and before and after a blank line. A run counts
+where it is confirmed (see below) and none of its lines is a confirmed notice by
+itself; the other predictions for its lines then don't count.
 
 A paragraph's features are its words and pairs of neighbouring words, present or
 not. A multinomial logistic regression over them, fitted on the notices below
@@ -48,6 +53,11 @@ NOTICES = {
         "SPDX-License-Identifier: BSD-3-Clause",
         "Use of this source code is governed by a BSD-style license.",
     ],
+    "boost": [
+        "Distributed under the Boost Software License, Version 1.0.",
+        "SPDX-License-Identifier: BSL-1.0",
+        "Released under the Boost Software License.",
+    ],
     "cc-by": [
         "Licensed under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
@@ -69,6 +79,11 @@ NOTICES = {
         "To the extent possible under law, the author has waived all copyright, CC0 1.0 Universal.",
         "SPDX-License-Identifier: CC0-1.0",
     ],
+    "eupl": [
+        "Licensed under the EUPL, Version 1.2 or later.",
+        "SPDX-License-Identifier: EUPL-1.2",
+        "Licensed under the European Union Public Licence.",
+    ],
     "gpl": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it under the terms of the GNU General Public License.",
@@ -76,6 +91,12 @@ NOTICES = {
         "Released under the GPL v2.",
         "Licensed under the GNU GPL, version 2 or later.",
     ],
+    "isc": [
+        "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted.",
+        "Licensed under the ISC License.",
+        "SPDX-License-Identifier: ISC",
+        "Released under the ISC License.",
+    ],
     "lgpl": [
         "Licensed under the GNU Lesser General Public License, version 2.1.",
         "This library is free software under the terms of the GNU Lesser General Public License.",
@@ -100,6 +121,11 @@ NOTICES = {
         "Proprietary and confidential. Unauthorized copying of this file is strictly prohibited.",
         "Copyright, all rights reserved.",
     ],
+    "unlicense": [
+        "This is free and unencumbered software released into the public domain.",
+        "SPDX-License-Identifier: Unlicense",
+        "Released under the Unlicense.",
+    ],
 }
 #: Sentences with some of the same words that are no notices.
 UNKNOWN = [
@@ -128,6 +154,8 @@ UNKNOWN = [
 AROUND = ["{}", "Copyright (c) 2019 J. Doe. {}", "{} See the file for details.", "note: {} thanks", "The code and data: {} More text follows here."]
 _COMMON = set("a an and are as at be by for from has have he in is it its no not of on or that the this to was were with you may can any she".split())
 _WORD = r"[a-z0-9]+(?:\.[0-9]+)?"
+#: Line breaks between runs; each takes one character of the text.
+_BREAK = r"(?<=[.!?:;][ \t\r\"')]{0,4})\n|\n(?=[ \t\r]{0,80}\n)|(?<=\n[ \t\r]{0,80})\n"
 
 
 def _words(text: str) -> list[str]:
@@ -179,35 +207,48 @@ def _literal(values) -> Column:
     return F.array(*(F.lit(v) for v in values))
 
 
+def runs(text: Column) -> Column:
+    """array<struct<i int, m int, s string>>: runs of two lines or more, with their first line and number of lines."""
+    none = F.array().cast("array<struct<i:int,m:int,s:string>>")
+    begin = F.struct(F.lit(0).alias("line"), none.alias("out"))
+
+    def step(acc, s):
+        breaks = F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))
+        one = F.struct(acc["line"].alias("i"), (breaks + 1).alias("m"), s.alias("s"))
+        return F.struct((acc["line"] + breaks + 1).alias("line"), F.when(breaks > 0, F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(F.split(F.coalesce(text, F.lit("")), _BREAK), begin, step, lambda acc: acc["out"])
+
+
 def paragraphs(text: Column) -> Column:
-    """array<struct<i int, family string, probability double, confirmed boolean>> of
-    the paragraphs that a family was predicted for."""
+    """array<struct<i int, m int, family string, probability double, confirmed boolean>> of
+    the lines and runs (first line i, m lines) that a family was predicted for."""
     m = trained()
     words_of = sorted({x for f in m["vocabulary"] for x in f.split(" ") if x not in _COMMON})
     vocabulary, known = _literal(m["vocabulary"]), _literal(words_of)
-    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda s, i: F.struct(i.alias("i"), s.alias("s")))
-    worded = F.transform(lines, lambda x: F.struct(x["i"].alias("i"), F.split(F.lower(x["s"]), r"(?:[^a-z0-9.]|\.(?![0-9])|(?<![0-9a-z])\.)+").alias("w")))
-    able = F.filter(worded, lambda x: F.arrays_overlap(x["w"], known))
+    apart = r"(?:[^a-z0-9.]|\.(?![0-9])|(?<![0-9a-z])\.)+"
+    able = lambda s: F.arrays_overlap(F.split(F.lower(s), apart), known)
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda s, i: F.struct(i.alias("i"), F.lit(1).alias("m"), s.alias("s")))
+    texts = F.filter(F.concat(lines, runs(text)), lambda x: able(x["s"]))
     # only few paragraphs come this far: their words are read again by the model's own pattern
-    texts = F.transform(able, lambda x: F.struct(x["i"].alias("i"), F.get(F.split(F.coalesce(text, F.lit("")), "\n"), x["i"]).alias("s")))
-    read = F.transform(texts, lambda x: F.struct(x["i"].alias("i"), F.regexp_extract_all(F.lower(x["s"]), F.lit(f"({_WORD})")).alias("w")))
+    read = F.transform(texts, lambda x: F.struct(x["i"].alias("i"), x["m"].alias("m"), F.regexp_extract_all(F.lower(x["s"]), F.lit(f"({_WORD})")).alias("w")))
 
     def with_features(x):
         w = x["w"]
         pairs = F.zip_with(F.slice(w, 1, F.greatest(F.lit(0), F.size(w) - 1)), F.slice(w, 2, F.greatest(F.lit(0), F.size(w) - 1)), lambda a, b: F.concat_ws(" ", a, b))
         found = F.array_intersect(F.concat(w, pairs), vocabulary)
         places = F.transform(found, lambda f: F.array_position(vocabulary, f).cast("int") - 1)
-        return F.struct(x["i"].alias("i"), w.alias("w"), places.alias("f"))
+        return F.struct(x["i"].alias("i"), x["m"].alias("m"), w.alias("w"), places.alias("f"))
 
     def with_scores(x):
         z = [F.aggregate(x["f"], F.lit(float(b)), _adder(row)) / m["temperature"] for row, b in zip(m["weights"], m["bias"], strict=True)]
-        return F.struct(x["i"].alias("i"), x["w"].alias("w"), F.array(*z).alias("z"))
+        return F.struct(x["i"].alias("i"), x["m"].alias("m"), x["w"].alias("w"), F.array(*z).alias("z"))
 
     def predicted(x):
         best = F.array_max(x["z"])
         share = 1 / F.aggregate(x["z"], F.lit(0.0), lambda a, v: a + F.exp(v - best))
         family = F.get(_literal(m["families"]), F.array_position(x["z"], best).cast("int") - 1)
-        return F.struct(x["i"].alias("i"), x["w"].alias("w"), family.alias("family"), share.alias("probability"))
+        return F.struct(x["i"].alias("i"), x["m"].alias("m"), x["w"].alias("w"), family.alias("family"), share.alias("probability"))
 
     def confirmed(x):
         right = F.lit(False)
@@ -215,7 +256,7 @@ def paragraphs(text: Column) -> Column:
             sets = [sorted(set(_words(t))) for t in notices]
             met = [F.size(F.array_intersect(_literal(s), x["w"])) >= LEAST_CONTAINED * len(s) for s in sets]
             right = F.when(x["family"] == family, F.greatest(*met) if len(met) > 1 else met[0]).otherwise(right)
-        return F.struct(x["i"].alias("i"), x["family"].alias("family"), F.round(x["probability"], 4).alias("probability"), right.alias("confirmed"))
+        return F.struct(x["i"].alias("i"), x["m"].alias("m"), x["family"].alias("family"), F.round(x["probability"], 4).alias("probability"), right.alias("confirmed"))
 
     scored = F.transform(F.transform(F.transform(read, with_features), with_scores), predicted)
     named = F.filter(scored, lambda x: (x["family"] != "unknown") & (x["probability"] >= LEAST_PROBABILITY))
@@ -231,6 +272,13 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     """doc_id, n_notices (confirmed), n_unconfirmed, families (of the confirmed, sorted,
     comma-joined; empty if none) and notices (line:family:probability, comma-joined) of each document."""
     found = docs.select("doc_id", paragraphs(F.col("text")).alias("p"))
+    within = lambda line, run: line["i"].between(run["i"], run["i"] + run["m"] - 1)
+    single, wide = F.filter("p", lambda x: x["m"] == 1), F.filter("p", lambda x: (x["m"] > 1) & x["confirmed"])
+    found = found.select("doc_id", single.alias("single"), wide.alias("wide"))
+    wide = F.filter("wide", lambda r: ~F.exists("single", lambda x: x["confirmed"] & within(x, r)))
+    found = found.select("doc_id", "single", wide.alias("wide"))
+    single = F.filter("single", lambda x: x["confirmed"] | ~F.exists("wide", lambda r: within(x, r)))
+    found = found.select("doc_id", F.array_sort(F.concat(single, F.col("wide"))).alias("p"))
     sure = F.filter("p", lambda x: x["confirmed"])
     said = F.transform(sure, lambda x: F.concat_ws(":", x["i"].cast("string"), x["family"], x["probability"].cast("string")))
     return found.select(

@@ -150,6 +150,54 @@ def test_licences(spark, small):
     assert of(license_scan.scan_licenses(docs(spark, documents(small), CLASHING)), "doc_id", "families") == sorted(want, key=str)
 
 
+WRAPPED = {
+    "mit": "MIT\n\nPermission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated\ndocumentation files, to deal in it",
+    "gpl": "# This program is free software: you can\n# redistribute it and/or modify it under the\n# terms of the GNU General Public License as published",
+    "isc": "Permission to use, copy, modify, and/or distribute\nthis software for any purpose with or\nwithout fee is hereby granted",
+    "unlicense": "This is free and unencumbered\nsoftware released into the public\ndomain",
+    "boost": "Distributed under the Boost\nSoftware License, Version 1.0.",
+    "eupl": "Licensed under the European\nUnion Public Licence.",
+}
+
+
+def test_wrapped_licences(spark):
+    rows = [(i, f"Some prose here.\n{t}\n\nMore prose there.") for i, t in enumerate(WRAPPED.values())]
+    rows += [(50, "The license of the\ndriver expired in spring."), (51, "Released under the MIT License.\nand then\nmore"), *((None if i is None else 100 + i, t) for i, t in ODD)]
+    got = sorted(license_scan.scan_licenses(docs(spark, rows, CLASHING)).collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"]))
+    by_id = {r["doc_id"]: r for r in got}
+    assert len(got) == len(rows) and [by_id[i]["families"] for i in range(len(WRAPPED))] == list(WRAPPED)
+    assert all(by_id[i]["n_notices"] == 1 for i in range(len(WRAPPED))) and by_id[2]["notices"].startswith("1:isc:")
+    assert by_id[50]["n_notices"] == 0 and (by_id[51]["families"], by_id[51]["n_notices"]) == ("mit", 1)
+    assert all(r["n_notices"] == 0 for r in got if r["doc_id"] is None or r["doc_id"] > 60)
+    assert license_scan.scan_licenses(docs(spark, [])).count() == 0
+
+
+def test_runs(spark):
+    text = "a\nb.\nc\n\nd\n e\n \nf!) \ng\nh"
+    got = docs(spark, [(1, text), (2, None), (3, "")]).select("doc_id", license_scan.runs(F.col("text")).alias("r")).collect()
+    assert {r["doc_id"]: [(x["i"], x["m"], x["s"]) for x in r["r"]] for r in got} == {1: [(0, 2, "a\nb."), (4, 2, "d\n e"), (8, 2, "g\nh")], 2: [], 3: []}
+
+
+def test_licence_scores_against_numpy(spark):
+    m, families = license_scan.trained(), [*license_scan.NOTICES, "unknown"]
+    lines = [a.format(t) for k in license_scan.NOTICES.values() for t in k for a in license_scan.AROUND] + license_scan.UNKNOWN
+    rows = docs(spark, list(enumerate(lines))).select("doc_id", license_scan.paragraphs(F.col("text")).alias("p")).collect()
+    for r in rows:
+        f = license_scan._features(lines[r["doc_id"]])
+        z = (np.array([x in f for x in m["vocabulary"]]) @ m["weights"].T + m["bias"]) / m["temperature"]
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        best = int(p.argmax())
+        if families[best] == "unknown" or p[best] < license_scan.LEAST_PROBABILITY - 1e-3:
+            assert not r["p"], lines[r["doc_id"]]
+        elif p[best] > license_scan.LEAST_PROBABILITY + 1e-3:
+            assert [x["family"] for x in r["p"]] == [families[best]] and abs(r["p"][0]["probability"] - p[best]) < 1e-3
+    # all of the notices that the model is fitted on, and none of the other sentences
+    named = {r["doc_id"]: bool(r["p"]) for r in rows}
+    n = len(lines) - len(license_scan.UNKNOWN)
+    assert sum(named[i] for i in range(n)) >= 0.9 * n and not any(named[i] for i in range(n, len(lines)))
+
+
+
 def test_licences_held_out(spark):
     """Notices in other words than those of the fit, and sentences that are none."""
     rows = [
