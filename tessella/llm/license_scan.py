@@ -154,8 +154,9 @@ UNKNOWN = [
 AROUND = ["{}", "Copyright (c) 2019 J. Doe. {}", "{} See the file for details.", "note: {} thanks", "The code and data: {} More text follows here."]
 _COMMON = set("a an and are as at be by for from has have he in is it its no not of on or that the this to was were with you may can any she".split())
 _WORD = r"[a-z0-9]+(?:\.[0-9]+)?"
-#: Line breaks between runs; each takes one character of the text.
-_BREAK = r"(?<=[.!?:;][ \t\r\"')]{0,4})\n|\n(?=[ \t\r]{0,80}\n)|(?<=\n[ \t\r]{0,80})\n"
+#: Line breaks between runs; each takes one character of the text. The break comes first,
+#: so that what stands around it is looked at there alone and not at every character.
+_BREAK = r"\n(?:(?<=[.!?:;][ \t\r\"')]{0,4}\n)|(?=[ \t\r]{0,80}\n)|(?<=\n[ \t\r]{0,80}\n))"
 
 
 def _words(text: str) -> list[str]:
