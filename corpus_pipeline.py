@@ -20,10 +20,10 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the threshold. The model learns from
-    the labelled rows of docs that are not held out. Null and empty texts have the
+    all labelled rows of docs that are not held out. Null and empty texts have the
     score of a text without features, below the threshold unless most labels are
     toxic; a null doc_id is never learned from; repeated rows share their fate."""
-    model = toxicity.fit(*toxicity.training_rows(docs, table(spark, sf_dir, "labels"), ~toxicity.held_out(F.col("doc_id"))))
+    model = toxicity.fit(toxicity.training_rows(docs, table(spark, sf_dir, "labels"), ~toxicity.held_out(F.col("doc_id"))))
     return toxicity.score(docs, model, "__toxicity").filter(F.col("__toxicity") < toxicity.THRESHOLD).drop("__toxicity")
 
 

@@ -6,13 +6,15 @@ what each sign may stand for is decoded by Viterbi search under a character
 trigram model, and the restored word is scored beside the word as it stands.
 
 The score is a logistic regression over the presence of words and word
-beginnings in a document. Both models are fitted on a bounded sample of labelled
-rows: at most TRAIN_ROWS of each label, those with the smallest hash of doc_id.
+beginnings in a document. Both models are fitted on all labelled rows that may be
+learned from: tasks count trigrams and features and add up gradients, the driver
+gets sums only (each Newton step one matrix of the features a task).
 
 Defined cases: a null or empty text has no features and the score of a document
 without any; a null doc_id is scored like another; labels with a null or without
-a document are left out; where one label is missing, every score is the share of
-the other; repeated rows are scored alike; other columns are ignored.
+a document are left out; of texts that share a doc_id, the first in order is learned
+from; where one label is missing, every score is the share of the other; repeated
+rows are scored alike; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,10 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import small_batches
+from .common import BROADCAST_KEYS, small_batches, written
 
-#: Bound of the training sample for each label, and of the features kept.
-TRAIN_ROWS, FEATURES, LEAST_TOXIC = 2000, 600, 3
+#: Bound of the features kept, and least number of toxic documents that have one.
+FEATURES, LEAST_TOXIC = 600, 3
+#: Items that a task counts before it hands its counts on, and words whose features it remembers.
+HELD_ITEMS, HELD_WORDS = 500_000, 100_000
+#: Features up to which the toxic rows' are sent to the tasks that count the others'.
+SENT_FEATURES = 200_000
 RIDGE, PART = 0.5, 0.4
 THRESHOLD = 0.7
 #: Words that a worker remembers before it starts afresh.
@@ -52,6 +58,16 @@ _DRAWN = re.compile(r"(.)\1\1")
 _INNER_MARKS = re.compile(r"[._\-]")
 
 
+def trigrams(words: Counter) -> Counter:
+    """Numbers of the character trigrams of words, ``^`` before and ``$`` after."""
+    out: Counter = Counter()
+    for w, n in words.items():
+        s = "^^" + w + "$"
+        for i in range(2, len(s)):
+            out[s[i - 2 : i + 1]] += n
+    return out
+
+
 @dataclass
 class CharModel:
     """Interpolated character trigrams over words, ``^`` before and ``$`` after."""
@@ -59,23 +75,32 @@ class CharModel:
     tri: dict = field(default_factory=dict)
     bi: dict = field(default_factory=dict)
     uni: dict = field(default_factory=dict)
+    #: What logp gave, up to HELD_ITEMS.
+    told: dict = field(default_factory=dict, repr=False, compare=False)
 
     @classmethod
     def fit(cls, words: Counter) -> CharModel:
+        return cls.of_trigrams(trigrams(words))
+
+    @classmethod
+    def of_trigrams(cls, found: dict) -> CharModel:
         counts = [defaultdict(float) for _ in range(6)]
-        for w, n in words.items():
-            s = "^^" + w + "$"
-            for i in range(2, len(s)):
-                a, b, c = s[i - 2 : i + 1]
-                for k, x in zip(range(6), ((a, b, c), (a, b), (b, c), b, c, ""), strict=True):
-                    counts[k][x] += n
+        for (a, b, c), n in found.items():
+            for k, x in zip(range(6), ((a, b, c), (a, b), (b, c), b, c, ""), strict=True):
+                counts[k][x] += n
         tri, tri_of, bi, bi_of, uni, all_ = counts
         return cls(
             {x: n / tri_of[x[:2]] for x, n in tri.items()}, {x: n / bi_of[x[0]] for x, n in bi.items()}, {c: n / all_[""] for c, n in uni.items()}
         )
 
     def logp(self, a: str, b: str, c: str) -> float:
-        return math.log(0.8 * self.tri.get((a, b, c), 0.0) + 0.18 * self.bi.get((b, c), 0.0) + 0.0199 * self.uni.get(c, 0.0) + 1e-5)
+        p = self.told.get((a, b, c))
+        if p is None:
+            if len(self.told) >= HELD_ITEMS:
+                self.told.clear()
+            p = math.log(0.8 * self.tri.get((a, b, c), 0.0) + 0.18 * self.bi.get((b, c), 0.0) + 0.0199 * self.uni.get(c, 0.0) + 1e-5)
+            self.told[a, b, c] = p
+        return p
 
 
 def options_of(sign: str, run: int) -> list[tuple[str, float]]:
@@ -99,11 +124,12 @@ def decode(token: str, model: CharModel) -> str:
         run = run + 1 if sign == before else 1
         before = sign
         following: dict = {}
+        options = options_of(sign, run)
         for (a, b), (p, text) in states.items():
-            for c, cost in options_of(sign, run):
-                key = (b, c) if c else (a, b)
-                q = p + cost + (model.logp(a, b, c) if c else 0.0)
-                if key not in following or (-q, text + c) < (-following[key][0], following[key][1]):
+            for c, cost in options:
+                key, q = ((b, c), p + cost + model.logp(a, b, c)) if c else ((a, b), p + cost)
+                met = following.get(key)
+                if met is None or q > met[0] or (q == met[0] and text + c < met[1]):
                     following[key] = (q, text + c)
         states = following
     return min((-p - model.logp(a, b, "$"), text) for (a, b), (p, text) in states.items())[1]
@@ -176,6 +202,18 @@ class Featurizer:
         return found
 
 
+class Words(Featurizer):
+    """The words, as they stand and restored, whose features are a text's features."""
+
+    def of_word(self, token: str) -> frozenset:
+        word = token.strip(_EDGE)
+        if len(word) == len(token) and word.isalpha() and not _DRAWN.search(word):
+            return frozenset((word,))
+        found = {word}
+        found.update(restored(w, self.chars) for w in {word, token.rstrip(".,;:?\"'")})
+        return frozenset(found - {None, ""})
+
+
 @dataclass
 class ToxicityModel:
     chars: CharModel
@@ -190,77 +228,169 @@ def _odds(a: float, b: float, n1: float, n0: float) -> float:
     return math.log(a / (n1 + 1) / (b / (n0 + 1))) - 2 * math.sqrt(1 / a + 1 / b)
 
 
-def fit(texts: list[str], toxic: list[int], share: float) -> ToxicityModel:
-    """Fit both models; ``share`` is the share of toxic rows among all labelled rows."""
-    y = np.array(toxic, np.float64)
+def _counted(rows: DataFrame, make) -> DataFrame:
+    """(item, n1, n0): how often an item is in toxic and in other rows. ``make`` gives, for
+    each task, what adds a batch to a pair of counters, by label, and what items these stand for."""
+
+    def run(batches):
+        (add, of), sums = make(), (Counter(), Counter())
+
+        def handed_on():
+            found = [of(c) for c in sums]
+            both = list(found[0].keys() | found[1].keys())
+            counts = [pa.array([c[x] for x in both], pa.int64()) for c in found]
+            for c in sums:
+                c.clear()
+            return pa.RecordBatch.from_arrays([pa.array(both, pa.string()), *counts], names=["item", "n0", "n1"])
+
+        for b in batches:
+            add(b, sums)
+            if len(sums[0]) + len(sums[1]) > HELD_ITEMS:
+                yield handed_on()
+        yield handed_on()
+
+    found = rows.mapInArrow(run, "item string, n0 long, n1 long")
+    return found.groupBy("item").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+
+
+def _add_tokens(b, sums) -> None:
+    for text, t in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
+        sums[t].update((text or "").lower().split())
+
+
+def _trigrams_of(tokens: Counter) -> Counter:
     words: Counter = Counter()
-    for text, t in zip(texts, toxic, strict=True):
-        words.update({w for w in (t.strip(_EDGE) for t in (text or "").lower().split()) if w.isalpha()})
-    chars = CharModel.fit(words)
-    prior = math.log(max(share, 1e-6) / max(1 - share, 1e-6))
-    if len(set(toxic)) < 2:
-        return ToxicityModel(chars, {}, np.zeros(0), prior)
-    # Features are counted in passes, so that never more than those of one text and
-    # the frequent ones are held: a feature is looked at if its hash occurs in
-    # LEAST_TOXIC toxic texts, kept if it does so itself, and only then counted in others.
-    maker = Featurizer(chars)
-    maker.cached = 10_000
-    yes, no = ([t for t, x in zip(texts, toxic, strict=True) if x == k] for k in (1, 0))
-    hashes = np.zeros(1 << 22, np.int32)
-    for t in yes:
-        hashes[[hash(f) & 0x3FFFFF for f in maker.of_text(t)]] += 1
-    df1 = Counter()
-    for t in yes:
-        df1.update(f for f in maker.of_text(t) if hashes[hash(f) & 0x3FFFFF] >= LEAST_TOXIC)
-    df1 = Counter({f: k for f, k in df1.items() if k >= LEAST_TOXIC})
-    df0 = Counter()
-    for t in no:
-        df0.update(f for f in maker.of_text(t) if f in df1)
-    n, n1 = len(texts), float(y.sum())
-
-    def gain(f: str) -> float:  # signed root of the likelihood ratio of a feature and the label
-        a, b = df1[f] + 0.5, df0[f] + 0.5
-        return a * math.log(a / (a + b) / (n1 / n)) + b * math.log(b / (a + b) / (1 - n1 / n))
-
-    able = [f for f in df1 if df1[f] + df0[f] >= 5 and df1[f] / n1 > 1.5 * df0[f] / (n - n1)]
-    kept = sorted(able, key=lambda f: (-gain(f), f))[:FEATURES]
-    known = {f: i for i, f in enumerate(kept)}
-    x, maker = np.zeros((n, len(kept)), np.float32), Featurizer(chars, known)
-    for i, t in enumerate(texts):
-        x[i, list(maker.of_text(t))] = 1
-    # Newton's method; the last column is the bias, which has no ridge
-    x = np.hstack([x, np.ones((n, 1), np.float32)])
+    for token, n in tokens.items():
+        w = token.strip(_EDGE)
+        if w.isalpha():
+            words[w] += n
+    return trigrams(words)
+
+
+def _by_word(make):
+    """``make`` of a word, remembered for HELD_WORDS words."""
+    known: dict = {}
+
+    def get(w: str):
+        found = known.get(w)
+        if found is None:
+            if len(known) >= HELD_WORDS:
+                known.clear()
+            found = known[w] = make(w)
+        return found
+
+    return get
+
+
+def _words(rows: DataFrame, chars: CharModel) -> DataFrame:
+    """(toxic, words) of each row."""
+
+    def run(batches):
+        maker = Words(chars)
+        maker.cached = HELD_WORDS
+        for b in batches:
+            words = [sorted(maker.of_text(t)) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(words, pa.list_(pa.string()))], names=["toxic", "words"])
+
+    return rows.select("text", "toxic").mapInArrow(run, "toxic int, words array<string>")
+
+
+def _feature_counts(some: frozenset | None = None):
+    features = _by_word(lambda w: [f for f in word_features(w) if some is None or f in some])
+
+    def add(b, sums):
+        for words, t in zip(b.column("words").to_pylist(), b.column("toxic").to_pylist(), strict=True):
+            sums[t].update(set().union(*map(features, words)))
+
+    return add, lambda features: features
+
+
+def _features(words: DataFrame) -> DataFrame:
+    """(item, n1, n0) of each feature that LEAST_TOXIC toxic rows have. Other rows are
+    counted for these only, where they are few enough to be sent to the tasks."""
+    often = _counted(words.filter("toxic = 1"), _feature_counts).filter(F.col("n1") >= LEAST_TOXIC)
+    often = written(often.select("item", "n1"), "toxic-features")
+    some = frozenset(r["item"] for r in often.collect()) if often.count() <= SENT_FEATURES else None
+    rest = _counted(words.filter("toxic = 0"), lambda: _feature_counts(some)).select("item", "n0")
+    return often.join(rest, "item", "left").select("item", "n1", F.coalesce("n0", F.lit(0)).alias("n0"))
+
+
+def _vectors(words: DataFrame, known: dict) -> DataFrame:
+    """(at, toxic, n): numbers of the features of a row, and of how many rows."""
+
+    def run(batches):
+        numbers = _by_word(lambda w: [known[f] for f in word_features(w) if f in known])
+        for b in batches:
+            at = [sorted(set().union(*map(numbers, ws))) for ws in b.column("words").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.list_(pa.int32())), b.column("toxic")], names=["at", "toxic"])
+
+    found = words.select("toxic", "words").mapInArrow(run, "at array<int>, toxic int")
+    return found.groupBy("at", "toxic").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _slopes(vectors: DataFrame, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and curvature of the loss over all rows; the last column is the bias."""
+    k = len(w)
+
+    def run(batches):
+        slope, curve = np.zeros(k), np.zeros((k, k))
+        for b in batches:
+            at, y, n = b.column("at"), b.column("toxic").to_numpy(zero_copy_only=False), b.column("n").to_numpy(zero_copy_only=False)
+            x = np.zeros((len(y), k), np.float32)
+            x[:, -1] = 1
+            x[np.repeat(np.arange(len(y)), at.value_lengths().to_numpy(zero_copy_only=False)), at.flatten().to_numpy(zero_copy_only=False)] = 1
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            slope += x.T @ ((p - y) * n)
+            curve += x.T @ (x * (p * (1 - p) * n).astype(np.float32)[:, None])
+        yield pa.RecordBatch.from_arrays([pa.array([slope.tobytes()]), pa.array([curve.tobytes()])], names=["slope", "curve"])
+
+    slope, curve = np.zeros(k), np.zeros((k, k))
+    for r in vectors.mapInArrow(run, "slope binary, curve binary").toLocalIterator():
+        slope += np.frombuffer(r["slope"])
+        curve += np.frombuffer(r["curve"]).reshape(k, k)
+    return slope, curve
+
+
+def fit(rows: DataFrame) -> ToxicityModel:
+    """Both models, fitted on all of ``rows`` (text, toxic)."""
+    small_batches(rows.sparkSession)
+    rows = written(rows.select("text", F.col("toxic").cast("int").alias("toxic")), "toxicity-rows")
+    counts = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n1, n0 = counts.get(1, 0), counts.get(0, 0)
+    # as many rows as there are trigrams of characters
+    chars = CharModel.of_trigrams({r["item"]: r["n1"] + r["n0"] for r in _counted(rows, lambda: (_add_tokens, _trigrams_of)).collect()})
+    if not n1 or not n0:
+        share = n1 / max(1, n1 + n0)
+        return ToxicityModel(chars, {}, np.zeros(0), math.log(max(share, 1e-6) / max(1 - share, 1e-6)))
+    words = written(_words(rows, chars), "toxicity-words")
+    a, b, n = F.col("n1") + 0.5, F.col("n0") + 0.5, n1 + n0
+    # signed root of the likelihood ratio of a feature and the label
+    gain = a * F.log(a / (a + b) / (n1 / n)) + b * F.log(b / (a + b) / (1 - n1 / n))
+    able = (F.col("n1") + F.col("n0") >= 5) & (F.col("n1") / n1 > 1.5 * F.col("n0") / n0)
+    kept = _features(words).filter(able).orderBy(F.desc(F.round(gain, 9)), "item").limit(FEATURES).collect()
+    known = {r["item"]: i for i, r in enumerate(kept)}
+    vectors = written(_vectors(words, known), "toxicity-vectors")
     # The ridge pulls each weight to a part of the feature's own log odds, less two
-    # standard errors: words that come together in the sample also count alone.
-    center = np.array([PART * max(0.0, _odds(df1[f], df0[f], n1, n - n1)) for f in kept] + [0.0])
-    w, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], RIDGE)
-    w[-1], ridge[-1] = math.log(n1 / (n - n1)), 1e-6
-    for _ in range(40):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        curve = x.T @ (x * (p * (1 - p)).astype(np.float32)[:, None]) + np.diag(ridge)
-        step = np.linalg.solve(curve, x.T @ (p - y) + ridge * (w - center))
+    # standard errors: words that come together in the rows also count alone.
+    center = np.array([PART * max(0.0, _odds(r["n1"], r["n0"], n1, n0)) for r in kept] + [0.0])
+    w, ridge = np.zeros(len(kept) + 1), np.full(len(kept) + 1, RIDGE)
+    w[-1], ridge[-1] = math.log(n1 / n0), 1e-6
+    for _ in range(40):  # Newton's method; the last column is the bias, which has no ridge
+        slope, curve = _slopes(vectors, w)
+        step = np.linalg.solve(curve + np.diag(ridge), slope + ridge * (w - center))
         w -= step / max(1.0, np.abs(step).max())  # far from the optimum whole steps may overshoot
         if np.abs(step).max() < 1e-4:
             break
-    w, b = w[:-1], float(w[-1])
-    # the sample may hold another share of toxic rows than all labelled rows do
-    return ToxicityModel(chars, known, w, b - math.log(n1 / (n - n1)) + prior)
-
-
-def training_rows(docs: DataFrame, labels: DataFrame, usable) -> tuple[list[str], list[int], float]:
-    """The bounded sample of labelled rows that ``usable`` (a condition on doc_id) admits."""
-    ours = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & usable).select(F.col("doc_id").cast("long"), "toxic")
-    counts = {r["toxic"]: r["n"] for r in ours.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    chosen = None
-    for t in (0, 1):
-        part = ours.filter(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
-        chosen = part if chosen is None else chosen.union(part)
-    # at most 2 * TRAIN_ROWS rows; of texts that share a doc_id, the first in order
-    met = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id")
-    rows = met.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
-    rows = sorted(rows, key=lambda r: (r["doc_id"], r["text"] or "", r["toxic"]))
-    share = counts.get(1, 0) / max(1, sum(counts.values()))
-    return [r["text"] or "" for r in rows], [r["toxic"] for r in rows], share
+    w = np.round(w, 6)  # sums over tasks come in any order
+    return ToxicityModel(chars, known, w[:-1], float(w[-1]))
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, usable) -> DataFrame:
+    """doc_id, toxic, text of all labelled rows that ``usable`` (a condition on doc_id) admits."""
+    ours = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & usable).select(F.col("doc_id").cast("long"), "toxic").distinct()
+    small = ours.count() <= BROADCAST_KEYS
+    met = docs.select(F.col("doc_id").cast("long"), "text").filter(usable).join(F.broadcast(ours) if small else ours, "doc_id")
+    return met.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
 
 def score(docs: DataFrame, model: ToxicityModel, name: str = "score") -> DataFrame:
@@ -288,7 +418,7 @@ def held_out(doc_id):
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of ``docs``."""
-    model = fit(*training_rows(docs, labels, ~held_out(F.col("doc_id"))))
+    model = fit(training_rows(docs, labels, ~held_out(F.col("doc_id"))))
     scored = score(docs.select("doc_id", "text"), model)
     return scored.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")

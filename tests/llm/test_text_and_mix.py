@@ -134,6 +134,21 @@ def test_toxicity_odd(spark):
     assert toxicity.toxicity(docs(spark, []), none).count() == 0
 
 
+def test_toxicity_learns_from_all_labels(spark):
+    """Six words of which each is in a few of some thousand toxic rows: none may be lost to a sample."""
+    bad = ["zorgle", "quabbit", "fremlin", "dwarkle", "snibbet", "vontrup"]
+    rows = [(i, f"you {bad[i % 6] if i % 400 < 6 else 'idiot'} today" if i % 2 else "a fine day here") for i in range(12000)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i, _ in rows], "doc_id long, quality int, toxic int")
+    learned = toxicity.training_rows(docs(spark, rows), labels, ~toxicity.held_out(F.col("doc_id")))
+    want = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert sorted(r["doc_id"] for r in learned.collect()) == want
+    model = toxicity.fit(learned)
+    texts = {i: t for i, t in rows}
+    for word in bad:
+        n = sum(word in texts[i] for i in want)
+        assert (word in model.known) == (n >= 5), word
+
+
 # --- licences ---
 
 
