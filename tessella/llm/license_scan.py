@@ -227,7 +227,8 @@ def paragraphs(text: Column) -> Column:
     m = trained()
     words_of = sorted({x for f in m["vocabulary"] for x in f.split(" ") if x not in _COMMON})
     vocabulary, known = _literal(m["vocabulary"]), _literal(words_of)
-    apart = r"(?:[^a-z0-9.]|\.(?![0-9])|(?<![0-9a-z])\.)+"
+    # no group is repeated: Java's matcher recurses for each round of one, and long paragraphs hold thousands of signs in a row
+    apart = r"[^a-z0-9.]++|\.(?![0-9])|(?<![0-9a-z])\."
     able = lambda s: F.arrays_overlap(F.split(F.lower(s), apart), known)
     lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda s, i: F.struct(i.alias("i"), F.lit(1).alias("m"), s.alias("s")))
     texts = F.filter(F.concat(lines, runs(text)), lambda x: able(x["s"]))

@@ -193,6 +193,12 @@ def test_runs(spark):
     assert {r["doc_id"]: [(x["i"], x["m"], x["s"]) for x in r["r"]] for r in got} == {1: [(0, 2, "a\nb."), (4, 2, "d\n e"), (8, 2, "g\nh")], 2: [], 3: []}
 
 
+def test_licences_in_long_paragraphs(spark):
+    long = {0: "я" * 20000, 1: " . " * 20000, 2: "\n" * 20000, 3: ("." * 300 + "\n") * 100, 4: "a" * 100000}
+    got = license_scan.scan_licenses(docs(spark, [(i, f"{t} Released under the MIT License.") for i, t in long.items()]))
+    assert of(got, "doc_id", "families", "n_notices") == [(i, "mit", 1) for i in long]
+
+
 def test_licence_scores_against_numpy(spark):
     m, families = license_scan.trained(), [*license_scan.NOTICES, "unknown"]
     lines = [a.format(t) for k in license_scan.NOTICES.values() for t in k for a in license_scan.AROUND] + license_scan.UNKNOWN
