@@ -36,7 +36,7 @@ from .common import BROADCAST_KEYS, small_batches, written
 FEATURES, LEAST_TOXIC = 600, 3
 #: Items that a task counts before it hands its counts on, and words whose features it remembers.
 HELD_ITEMS, HELD_WORDS = 500_000, 100_000
-#: Features up to which the toxic rows' are sent to the tasks that count the others'.
+#: Features of most toxic rows that are sent to the tasks that count the others'.
 SENT_FEATURES = 200_000
 RIDGE, PART = 0.5, 0.4
 THRESHOLD = 0.7
@@ -49,6 +49,7 @@ LOOKALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou",
 }
+_LOOKALIKE = frozenset(LOOKALIKES)
 _EDGE = "".join(map(chr, range(33, 127))).translate({i: None for i in map(ord, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")}) + "«»“”„’‘…¿–—"
 _SPACED = re.compile(r"(?<!\S)[^\W_](?:[ ._\-][^\W_]){3,}(?!\w)")
 _MARKED = re.compile(r"[^\W_](?:[._\-][^\W_]){3,}\Z")
@@ -114,20 +115,33 @@ def options_of(sign: str, run: int) -> list[tuple[str, float]]:
     return out
 
 
+#: What options_of gives for the usual signs; a run of three is as one of more.
+_OPTIONS = {(chr(c), run): options_of(chr(c), run) for c in range(33, 127) for run in (1, 2, 3)}
+
+
 def decode(token: str, model: CharModel) -> str:
     """The likeliest word behind a token of letters, look-alikes, repetitions and
     marks: Viterbi over states of the last two characters, of which a sign's few
     options leave some dozens. Of equally likely words, the first in order."""
     states = {("^", "^"): (0.0, "")}
-    before, run = "", 0
+    before, run, told, logp = "", 0, model.told, model.logp
     for sign in token:
         run = run + 1 if sign == before else 1
         before = sign
+        options = _OPTIONS.get((sign, run if run < 3 else 3)) or options_of(sign, run)
+        if len(options) == 1 and len(states) == 1:
+            (((a, b), (p, text)),), ((c, cost),) = states.items(), options
+            states = {(b, c): (p + cost + logp(a, b, c), text + c)}
+            continue
         following: dict = {}
-        options = options_of(sign, run)
-        for (a, b), (p, text) in states.items():
+        for state, (p, text) in states.items():
+            a, b = state
             for c, cost in options:
-                key, q = ((b, c), p + cost + model.logp(a, b, c)) if c else ((a, b), p + cost)
+                if c:
+                    more = told.get((a, b, c))
+                    key, q = (b, c), p + cost + (logp(a, b, c) if more is None else more)
+                else:
+                    key, q = state, p + cost
                 met = following.get(key)
                 if met is None or q > met[0] or (q == met[0] and text + c < met[1]):
                     following[key] = (q, text + c)
@@ -135,8 +149,30 @@ def decode(token: str, model: CharModel) -> str:
     return min((-p - model.logp(a, b, "$"), text) for (a, b), (p, text) in states.items())[1]
 
 
-def restored(word: str, model: CharModel) -> str | None:
-    """The word behind a disguised one (lower case, without outer marks), None where nothing points to a disguise."""
+def beginnings(wanted) -> tuple[frozenset, frozenset]:
+    """The first four characters of words and word beginnings, and all that these begin with."""
+    starts = {x for f in wanted for x in (f[:4], f[:4].rstrip("~"))}
+    return frozenset(starts), frozenset(x[:n] for x in starts for n in range(5))
+
+
+def may_begin(token: str, starts: frozenset, ways: frozenset) -> bool:
+    """Whether any reading of a token can begin with one of ``starts``; only then is decoding it of use."""
+    reached, before, run = {""}, "", 0
+    for sign in token:
+        run = run + 1 if sign == before else 1
+        before = sign
+        options = _OPTIONS.get((sign, min(run, 3))) or options_of(sign, run)
+        reached = {p + c for p in reached for c, _ in options if p + c in ways}
+        if not reached:
+            return False
+        if not reached.isdisjoint(starts):
+            return True
+    return False
+
+
+def restored(word: str, model: CharModel, wanted: tuple | None = None) -> str | None:
+    """The word behind a disguised one (lower case, without outer marks), None where nothing points to a
+    disguise, or where no reading can begin as a word of ``wanted`` (what beginnings gave)."""
     if not any(c.isalpha() for c in word):
         return None
     drawn, marked = _DRAWN.search(word), _MARKED.match(word)
@@ -144,7 +180,9 @@ def restored(word: str, model: CharModel) -> str | None:
         word = _INNER_MARKS.sub("", word)
     if not marked and not drawn and word.isalpha():
         return None
-    if not marked and not drawn and not any(c in LOOKALIKES for c in word):
+    if not marked and not drawn and _LOOKALIKE.isdisjoint(word):
+        return None
+    if wanted is not None and not may_begin(word, *wanted):
         return None
     return decode(word, model)
 
@@ -161,15 +199,15 @@ class Featurizer:
     def __init__(self, chars: CharModel, known: dict | None = None):
         self.chars, self.known, self.plain, self.marked, self.cached = chars, known, set(), {}, CACHE_WORDS
         self.roots = known and {f[:4].rstrip("~") for f in known}
+        self.wanted = None if known is None else beginnings(known)
 
     def of_word(self, token: str) -> frozenset:
-        word = token.strip(_EDGE)
-        ordinary = word.isalpha() and not _DRAWN.search(word)
-        if ordinary and len(word) == len(token) and self.roots is not None and word[:4] not in self.roots:
-            return frozenset()
-        found = set(word_features(word))
+        word = token if token.isalpha() else token.strip(_EDGE)
+        found: set = set()
+        if self.roots is None or word[:4] in self.roots or not word.isalpha():
+            found.update(word_features(word))
         for w in {word, token.rstrip(".,;:?\"'")}:
-            if back := restored(w, self.chars):
+            if back := restored(w, self.chars, self.wanted):
                 found.update(word_features(back))
         return frozenset(found if self.known is None else (self.known[x] for x in found if x in self.known))
 
@@ -305,14 +343,52 @@ def _feature_counts(some: frozenset | None = None):
     return add, lambda features: features
 
 
-def _features(words: DataFrame) -> DataFrame:
-    """(item, n1, n0) of each feature that LEAST_TOXIC toxic rows have. Other rows are
-    counted for these only, where they are few enough to be sent to the tasks."""
+def _gain(a, b, share, log=math.log):
+    """Signed root of the likelihood ratio of a feature and the label, for numbers or columns: a and b rows of
+    either label have it, ``share`` of all rows are toxic."""
+    return a * log(a / (a + b) / share) + b * log(b / (a + b) / (1 - share))
+
+
+def _most_gain(n: int, n1: int, n0: int) -> float:
+    """The most that a feature of n toxic rows gains, whatever other rows have it that _kept admits. The
+    gain has one least value over these, so the most is at the ends."""
+    return max(_gain(n + 0.5, b + 0.5, n1 / (n1 + n0)) for b in (0.0, n * n0 / (1.5 * n1)))
+
+
+def _kept(words: DataFrame, n1: int, n0: int) -> list:
+    """(item, n1, n0) of the FEATURES features that gain most, of those that LEAST_TOXIC toxic rows have.
+
+    The features of most toxic rows, as many as may be sent to the tasks, are counted in
+    the other rows first. Where even the best of the rest gains less than the last of
+    the kept ones, the rest isn't counted; otherwise all are."""
     often = _counted(words.filter("toxic = 1"), _feature_counts).filter(F.col("n1") >= LEAST_TOXIC)
     often = written(often.select("item", "n1"), "toxic-features")
-    some = frozenset(r["item"] for r in often.collect()) if often.count() <= SENT_FEATURES else None
-    rest = _counted(words.filter("toxic = 0"), lambda: _feature_counts(some)).select("item", "n0")
-    return often.join(rest, "item", "left").select("item", "n1", F.coalesce("n0", F.lit(0)).alias("n0"))
+    sizes = {r["n1"]: r["count"] for r in often.groupBy("n1").count().collect()}  # no more than toxic rows
+    least, sent = max(sizes, default=0) + 1, 0
+    for n in sorted(sizes, reverse=True):
+        if sent + sizes[n] > SENT_FEATURES:
+            break
+        least, sent = n, sent + sizes[n]
+    a, b = F.col("n1") + 0.5, F.col("n0") + 0.5
+    able = (F.col("n1") + F.col("n0") >= 5) & (F.col("n1") / n1 > 1.5 * F.col("n0") / n0)
+
+    def best(few: DataFrame, some: frozenset | None) -> list:
+        rest = _counted(words.filter("toxic = 0"), lambda: _feature_counts(some)).select("item", "n0")
+        met = few.join(rest, "item", "left").select("item", "n1", F.coalesce("n0", F.lit(0)).alias("n0"))
+        gain = F.round(_gain(a, b, n1 / (n1 + n0), F.log), 9)
+        return met.filter(able).orderBy(F.desc(gain), "item").limit(FEATURES).collect()
+
+    kept, rest = [], [n for n in sizes if n < least]
+    if sent or not rest:
+        few = often.filter(F.col("n1") >= least)
+        kept = best(few, frozenset(r["item"] for r in few.select("item").collect()))
+        if not rest:
+            return kept
+    if len(kept) == FEATURES:
+        last = _gain(kept[-1]["n1"] + 0.5, kept[-1]["n0"] + 0.5, n1 / (n1 + n0))
+        if max(_most_gain(n, n1, n0) for n in rest) < last - 1e-6:
+            return kept
+    return best(often, None)
 
 
 def _vectors(words: DataFrame, known: dict) -> DataFrame:
@@ -363,11 +439,7 @@ def fit(rows: DataFrame) -> ToxicityModel:
         share = n1 / max(1, n1 + n0)
         return ToxicityModel(chars, {}, np.zeros(0), math.log(max(share, 1e-6) / max(1 - share, 1e-6)))
     words = written(_words(rows, chars), "toxicity-words")
-    a, b, n = F.col("n1") + 0.5, F.col("n0") + 0.5, n1 + n0
-    # signed root of the likelihood ratio of a feature and the label
-    gain = a * F.log(a / (a + b) / (n1 / n)) + b * F.log(b / (a + b) / (1 - n1 / n))
-    able = (F.col("n1") + F.col("n0") >= 5) & (F.col("n1") / n1 > 1.5 * F.col("n0") / n0)
-    kept = _features(words).filter(able).orderBy(F.desc(F.round(gain, 9)), "item").limit(FEATURES).collect()
+    kept = _kept(words, n1, n0)
     known = {r["item"]: i for i, r in enumerate(kept)}
     vectors = written(_vectors(words, known), "toxicity-vectors")
     # The ridge pulls each weight to a part of the feature's own log odds, less two

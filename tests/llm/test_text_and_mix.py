@@ -3,7 +3,7 @@ import itertools
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -149,6 +149,31 @@ def test_toxicity_learns_from_all_labels(spark):
         assert (word in model.known) == (n >= 5), word
 
 
+def test_decodings_without_use_are_left_out():
+    rng = random.Random(5)
+    chars = toxicity.CharModel.fit(Counter({"stupid": 9, "idiot": 7, "liebe": 5, "table": 5}))
+    known = {f: i for i, f in enumerate(["stupid", "stup~", "idio~", "tab"])}
+    every, wanted = toxicity.Featurizer(chars, known), toxicity.beginnings(known)
+    every.wanted = None
+    tokens = ["".join(rng.choice("5$tup1!diioxa..--") for _ in range(rng.randint(1, 8))) for _ in range(3000)] + ["s-t-u-p-i-d", "1d10t", "stuuuupid", "7@b", "xx4"]
+    some = toxicity.Featurizer(chars, known)
+    assert [some.of_word(t) for t in tokens] == [every.of_word(t) for t in tokens]
+    assert any(some.of_word(t) for t in tokens) and not all(toxicity.may_begin(t, *wanted) for t in tokens)
+
+
+def test_kept_features_are_the_best_of_all(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(int(i < 60), sorted({f"w{int(rng.expovariate(0.05))}" for _ in range(20)} | ({"bad", "worse"} if i < 55 else set()))) for i in range(400)]
+    words = spark.createDataFrame(rows, "toxic int, words array<string>")
+    monkeypatch.setattr(toxicity, "FEATURES", 2)
+    of_kept = lambda: [tuple(r) for r in toxicity._kept(words, 60, 340)]
+    want, made, counted = of_kept(), [], toxicity._feature_counts
+    monkeypatch.setattr(toxicity, "_feature_counts", lambda some=None: made.append(some) or counted(some))
+    for sent in (0, 3, 40):
+        monkeypatch.setattr(toxicity, "SENT_FEATURES", sent)
+        assert of_kept() == want and {r[0] for r in want} == {"bad", "worse"}
+
+
 # --- licences ---
 
 
