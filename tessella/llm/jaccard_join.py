@@ -60,7 +60,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import one_of_each, small_batches, text_key, written
+from .common import giving_back, one_of_each, small_batches, text_key, written
 from .graph import components
 
 WORDS, PERCENT = 4, 85
@@ -289,7 +289,7 @@ def _sift(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """(a, b, able) of each pair."""
     for c in "ab":
         pairs = pairs.join(sketches.select(F.col("rid").alias(c), F.col("size").alias(f"{c}_size"), F.col("cells").alias(f"{c}_cells")), c)
-    return pairs.mapInArrow(_sifted(percent), "a long, b long, able boolean")
+    return pairs.mapInArrow(giving_back(_sifted(percent)), "a long, b long, able boolean")
 
 
 def _compared(words: int, percent: int):
@@ -322,7 +322,7 @@ def _compare(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     rest = salted.join(texts.withColumnRenamed("rid", "b"), "b")
     rows = first.select("a", "salt", F.lit(None).cast("long").alias("b"), "text").union(rest.select("a", "salt", "b", "text"))
     dealt = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return dealt.mapInArrow(_compared(words, percent), "a long, b long, linked boolean, distance double")
+    return dealt.mapInArrow(giving_back(_compared(words, percent)), "a long, b long, linked boolean, distance double")
 
 
 def _texts_of(docs: DataFrame, reps: DataFrame, wanted: DataFrame, words: int, clashes: set) -> DataFrame:
@@ -338,7 +338,7 @@ def _texts_of(docs: DataFrame, reps: DataFrame, wanted: DataFrame, words: int, c
             yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), b.column("text")], names=["rid", "text"])
 
     # a doc_id that repeats may bring texts that no one asked for, or one twice
-    met = some.mapInArrow(run, "rid long, text string").join(ids.select("rid"), "rid", "left_semi")
+    met = some.mapInArrow(giving_back(run), "rid long, text string").join(ids.select("rid"), "rid", "left_semi")
     return written(met.dropDuplicates(["rid"]), "texts")
 
 
@@ -353,7 +353,7 @@ def _pairs(docs: DataFrame, sets: DataFrame, reps: DataFrame, words: int, percen
     skip = sets.join(reps.withColumnRenamed("doc_id", "_rep"), "rid").filter(~F.col("doc_id").eqNullSafe(F.col("_rep")))
     skip = written(skip.select(F.col("rid").alias("_rid"), F.col("doc_id").alias("_id")).distinct(), "copies")
     small = skip.count() <= BROADCAST_IDS
-    signed = docs.mapInArrow(_signed(words, percent, clashes), "doc_id long, rid long, signs array<long>").filter("rid is not null")
+    signed = docs.mapInArrow(giving_back(_signed(words, percent, clashes)), "doc_id long, rid long, signs array<long>").filter("rid is not null")
     copy = (F.col("rid") == F.col("_rid")) & F.col("doc_id").eqNullSafe(F.col("_id"))
     signed = signed.join(F.broadcast(skip) if small else skip, copy, "left_anti").select("rid", "signs")
     # sets that several rows with the representative's own doc_id have
@@ -363,7 +363,7 @@ def _pairs(docs: DataFrame, sets: DataFrame, reps: DataFrame, words: int, percen
         one = signed.join(again, F.col("rid") == F.col("_rid"), "left_semi").groupBy("rid").agg(F.first("signs").alias("signs"))
         signed = signed.join(again, F.col("rid") == F.col("_rid"), "left_anti").union(one)
     rows = signed.select("rid", F.explode("signs").alias("sign"))
-    return rows.repartition("sign").sortWithinPartitions("sign", "rid").mapInArrow(_stars, "a long, b long").distinct()
+    return rows.repartition("sign").sortWithinPartitions("sign", "rid").mapInArrow(giving_back(_stars), "a long, b long").distinct()
 
 
 def clusters(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -371,7 +371,7 @@ def clusters(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
     component; null for an empty set), component_id."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text", text_key(F.col("text")).alias("text_key"))
-    sets = written(docs.mapInArrow(_sized(words), "doc_id long, text_key long, n_shingles long, low long, high long, cells binary"), "sets")
+    sets = written(docs.mapInArrow(giving_back(_sized(words)), "doc_id long, text_key long, n_shingles long, low long, high long, cells binary"), "sets")
     docs = docs.select("doc_id", "text")
     met = sets.filter("low is not null").groupBy("low").agg(F.min("high").alias("x"), F.max("high").alias("y")).filter("x <> y")
     # of n sets, about n * n / 2^65: some hundreds of 10^11
@@ -474,7 +474,7 @@ def _compare_blocks(state: DataFrame, sketches: DataFrame, percent: int) -> Data
             x, y = zip(*out, strict=True) if out else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(giving_back(run), "a long, b long").distinct()
 
 
 class _Block:

@@ -30,12 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import BROADCAST_KEYS, small_batches, written
+from .common import BROADCAST_KEYS, giving_back, small_batches, written
 
 #: Bound of the features kept, and least number of toxic documents that have one.
 FEATURES, LEAST_TOXIC = 600, 3
 #: Items that a task counts before it hands its counts on, and words whose features it remembers.
-HELD_ITEMS, HELD_WORDS = 500_000, 100_000
+HELD_ITEMS, HELD_WORDS = 250_000, 50_000
 #: Features of most toxic rows that are sent to the tasks that count the others'.
 SENT_FEATURES = 200_000
 RIDGE, PART = 0.5, 0.4
@@ -287,7 +287,7 @@ def _counted(rows: DataFrame, make) -> DataFrame:
                 yield handed_on()
         yield handed_on()
 
-    found = rows.mapInArrow(run, "item string, n0 long, n1 long")
+    found = rows.mapInArrow(giving_back(run), "item string, n0 long, n1 long")
     return found.groupBy("item").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
 
 
@@ -330,15 +330,27 @@ def _words(rows: DataFrame, chars: CharModel) -> DataFrame:
             words = [sorted(maker.of_text(t)) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(words, pa.list_(pa.string()))], names=["toxic", "words"])
 
-    return rows.select("text", "toxic").mapInArrow(run, "toxic int, words array<string>")
+    return rows.select("text", "toxic").mapInArrow(giving_back(run), "toxic int, words array<string>")
+
+
+def _of_rows(lists: pa.ListArray, make) -> list:
+    """For each row of words, the set of all that ``make`` gives for them; each different word of a batch is looked at once."""
+    flat = lists.flatten().dictionary_encode()
+    made = [make(w) for w in flat.dictionary.to_pylist()]
+    some = np.array([bool(x) for x in made], bool)
+    codes, lengths = flat.indices.to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False)
+    use = some[codes] if len(codes) else np.zeros(0, bool)
+    ends = np.concatenate([[0], np.cumsum(use)])[np.concatenate([[0], np.cumsum(lengths)])].tolist()
+    codes = codes[use].tolist()
+    return [set().union(*[made[c] for c in codes[i:j]]) for i, j in zip(ends, ends[1:], strict=False)]
 
 
 def _feature_counts(some: frozenset | None = None):
     features = _by_word(lambda w: [f for f in word_features(w) if some is None or f in some])
 
     def add(b, sums):
-        for words, t in zip(b.column("words").to_pylist(), b.column("toxic").to_pylist(), strict=True):
-            sums[t].update(set().union(*map(features, words)))
+        for found, t in zip(_of_rows(b.column("words"), features), b.column("toxic").to_pylist(), strict=True):
+            sums[t].update(found)
 
     return add, lambda features: features
 
@@ -397,10 +409,10 @@ def _vectors(words: DataFrame, known: dict) -> DataFrame:
     def run(batches):
         numbers = _by_word(lambda w: [known[f] for f in word_features(w) if f in known])
         for b in batches:
-            at = [sorted(set().union(*map(numbers, ws))) for ws in b.column("words").to_pylist()]
+            at = [sorted(x) for x in _of_rows(b.column("words"), numbers)]
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.list_(pa.int32())), b.column("toxic")], names=["at", "toxic"])
 
-    found = words.select("toxic", "words").mapInArrow(run, "at array<int>, toxic int")
+    found = words.select("toxic", "words").mapInArrow(giving_back(run), "at array<int>, toxic int")
     return found.groupBy("at", "toxic").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -421,7 +433,7 @@ def _slopes(vectors: DataFrame, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array([slope.tobytes()]), pa.array([curve.tobytes()])], names=["slope", "curve"])
 
     slope, curve = np.zeros(k), np.zeros((k, k))
-    for r in vectors.mapInArrow(run, "slope binary, curve binary").toLocalIterator():
+    for r in vectors.mapInArrow(giving_back(run), "slope binary, curve binary").toLocalIterator():
         slope += np.frombuffer(r["slope"])
         curve += np.frombuffer(r["curve"]).reshape(k, k)
     return slope, curve
@@ -480,7 +492,7 @@ def score(docs: DataFrame, model: ToxicityModel, name: str = "score") -> DataFra
                 out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], names=[*names, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema, StructField(name, DoubleType())]))
+    return docs.mapInArrow(giving_back(run), StructType([*docs.schema, StructField(name, DoubleType())]))
 
 
 def held_out(doc_id):
