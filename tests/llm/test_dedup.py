@@ -302,6 +302,19 @@ def test_long_lines(spark):
     assert sum(2 < edit(*p) for p in want) > 10
 
 
+def test_long_line_keys(spark):
+    """At most 2t + 1 keys in each of two bands, and the lengths that a key can't hold."""
+    rng, rows = random.Random(12), []
+    for i, n in enumerate((128, 200, 300, 450, 700) * 4):
+        rows.append((i, " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(n))[:n].strip()))
+    got = Counter(r["lid"] for r in line_dedup.keys(spark.createDataFrame(rows, "lid long, line string")).collect())
+    for i, line in rows:  # before: 3t + 1, or 8t + 1 where words are few
+        assert 0 < got[i] <= 2 * (2 * (len(line) // 20) + 1)
+    long = " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(6000))
+    df = docs(spark, [(1, long), (2, long.replace("a", "", 900)), (2, long[::-1])])
+    assert line_dedup.links(df).count() == 1
+
+
 def test_lines_odd(spark):
     got = of(line_dedup.line_report(docs(spark, ODD)), "doc_id", "n_lines", "n_kept")
     assert len(got) == len({i for i, _ in ODD}) and (None, 1, 1) in got and (1, 0, 0) in got
