@@ -315,6 +315,39 @@ def test_long_line_keys(spark):
     assert line_dedup.links(df).count() == 1
 
 
+def test_long_line_places(spark):
+    """Lines that hold the same words far from each other don't become candidates (before: each two of them did)."""
+    rng = random.Random(13)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(8)) for _ in range(60)]
+    lines = [" ".join(words[k:] + words[:k]) for k in range(0, 60, 10)]
+    lines += [lines[0].replace(words[30], "x" * 14), "yy " + lines[1]]
+    df = spark.createDataFrame(list(enumerate(lines)), "lid long, line string")
+    assert {frozenset(p) for p in of(line_dedup._candidates(df), "x", "y")} == {frozenset((0, 6)), frozenset((1, 7))}
+    # a word that comes often may be met anywhere
+    often = ["aaaaaaaaaaaa " * 20 + " ".join(words[:8]), "b " + "aaaaaaaaaaaa " * 20 + " ".join(words[:8])]
+    df = spark.createDataFrame(list(enumerate(often)), "lid long, line string")
+    assert line_dedup._candidates(df).count() == 1
+
+
+def test_long_line_distance(spark):
+    rng, rows = random.Random(14), []
+    for _ in range(150):
+        a = "".join(rng.choice("abcé ") for _ in range(rng.choice([128, 150, 171])))
+        b = list(a)
+        for _ in range(rng.choice([0, 1, 3, 6, 8, 11, 60])):
+            i = rng.choice([0, len(b), rng.randint(0, len(b))])
+            b[i : i + rng.randint(0, 1)] = rng.choice(["", "a", "X"])
+        b = "".join(b)
+        x, y = sorted((a, b), key=len, reverse=True)
+        if len(y) >= 128:
+            rows.append((x, y, len(y) // 20, edit(x, y)))
+    df = spark.createDataFrame(rows, "x string, y string, t int, d int")
+    x, y, t, d = (F.col(c) for c in "xytd")
+    assert df.filter(line_dedup._distance_within(x, y, t) != F.when(d <= t, d).otherwise(-1)).count() == 0
+    assert df.filter((d <= t) & ~line_dedup.ends_alike(x, y, t)).count() == 0
+    assert 20 < df.filter(d <= t).count() < len(rows) - 5 and df.filter(~line_dedup.ends_alike(x, y, t)).count() > 0
+
+
 def test_lines_odd(spark):
     got = of(line_dedup.line_report(docs(spark, ODD)), "doc_id", "n_lines", "n_kept")
     assert len(got) == len({i for i, _ in ODD}) and (None, 1, 1) in got and (1, 0, 0) in got
